@@ -14,7 +14,9 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,17 +75,29 @@ def _pretokenise(pattern: str, chunk: int, overlap: int):
     return run
 
 
+def _slices(lengths: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose lengths add up to `most` at most, or single rows; what is held as Python objects stays small."""
+    ends = np.cumsum(lengths)
+    begin = 0
+    while begin < len(lengths):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield begin, end
+        begin = end
+
+
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(path, pattern)
-        for batch in batches:
-            at = batch.schema.get_field_index("piece")
-            ids = [encoding.encode_ordinary(x or "") for x in batch.column(at).to_pylist()]
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(ids, pa.list_(pa.int32()))],
-                names=[*(batch.schema.names[i] for i in keep), "ids"],
-            )
+        for whole in batches:
+            at = whole.schema.get_field_index("piece")
+            keep = [i for i in range(whole.num_columns) if i != at]
+            for begin, end in _slices(pc.binary_length(whole.column(at)).to_numpy(zero_copy_only=False)):
+                batch = whole.slice(begin, end - begin)
+                ids = [encoding.encode_to_numpy(x.as_py(), disallowed_special=()) for x in batch.column(at)]
+                offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+                flat = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), flat], names=[*(batch.schema.names[i] for i in keep), "ids"])
 
     return run
 
@@ -91,14 +105,13 @@ def _encode(path: str, pattern: str):
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = _vocabulary(path)
-        for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            out = [b"".join(map(raw.__getitem__, x or ())) for x in batch.column(at).to_pylist()]
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(out, pa.binary())],
-                names=[*(batch.schema.names[i] for i in keep), "decoded"],
-            )
+        for whole in batches:
+            at = whole.schema.get_field_index("ids")
+            keep = [i for i in range(whole.num_columns) if i != at]
+            for begin, end in _slices(pc.fill_null(pc.list_value_length(whole.column(at)), 0).to_numpy(zero_copy_only=False), 1 << 19):
+                batch = whole.slice(begin, end - begin)
+                out = [b"".join(map(raw.__getitem__, x or ())) for x in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out, pa.binary())], names=[*(batch.schema.names[i] for i in keep), "decoded"])
 
     return run
 
