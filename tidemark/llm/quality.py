@@ -113,14 +113,14 @@ def log_ratios(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def scored(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every row of `df` (doc_id, text, ...) with `_counts`, a struct of the base counts, score and kept.
+    """(row, verdict) for every row of `df` (doc_id, text, ...): the row as it is, and its base counts, score and kept, as structs.
 
     A null text counts as empty: it fails the base rules. score is null for a text without n-grams, which no verdict of the method
-    rejects. Repeated rows and null ids are judged like others; other columns are carried along untouched.
+    rejects. Repeated rows and null ids are judged like others; other columns may have any names.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     ratios = log_ratios(df, labels)
-    own = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), text.alias("_text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    own = df.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
     both = base_counts(own, F.col("_text")).crossJoin(F.broadcast(ratios))  # a single row of BUCKETS numbers
     both = both.withColumn("_grams", buckets(F.col("_text")))
     total = F.aggregate("_grams", F.lit(0).cast("long"), lambda a, b: a + F.get("ratios", b))
@@ -128,4 +128,9 @@ def scored(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")
     # an explode of one row: a filter on the verdict stays above it, instead of being pushed down with the counts written out in it again and again
-    return both.select("_row", F.explode(F.array(F.struct(*names, kept.alias("kept")))).alias("_counts")).select("_row.*", "_counts")
+    return both.select("row", F.explode(F.array(F.struct(*names, kept.alias("kept")))).alias("verdict"))
+
+
+def passing(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `df` that the rules keep."""
+    return scored(df, labels, threshold).filter("verdict.kept").select("row.*")

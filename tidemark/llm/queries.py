@@ -31,7 +31,7 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.scored(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "_counts.*")
+    return judged.select("row.doc_id", "verdict.*")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,11 +182,14 @@ def digests(df: DataFrame) -> DataFrame:
 
 def redacted(df: DataFrame) -> DataFrame:
     """All rows and columns of documents, each stretch of secrets in text replaced by a mark and n_chars set anew where there is one; a null text stays null."""
-    rows = df.select(*(F.col(f"`{c}`") for c in df.columns if c != "text"), F.col("text").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text"), "text string"])
+    names = df.columns
+    numbered = df.toDF(*(f"c{i}" for i in range(len(names))))
+    text = names.index("text")
+    rows = numbered.withColumnRenamed(f"c{text}", "_text")
+    rest = [f for f in rows.schema.fields if f.name != "_text"]
     work = lambda t: ((redact(t, spans) if (spans := find(t)) else t) if t else t,)
-    out = rows.mapInArrow(_rows(work, ["text"], [pa.string()]), schema)
-    if "n_chars" in df.columns:
-        changed = F.length("text").cast(df.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), changed).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns))
+    out = rows.mapInArrow(_rows(work, [f"c{text}"], [pa.string()]), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rest), f"c{text} string"]))
+    if "n_chars" in names:
+        n = f"c{names.index('n_chars')}"
+        out = out.withColumn(n, F.when(F.col(n).isNotNull() & F.col(f"c{text}").isNotNull(), F.length(f"c{text}").cast(df.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -246,7 +246,7 @@ def one_of_each(df: DataFrame, **options) -> DataFrame:
     """
     found = near_duplicates(df, **options)
     stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = df.join(stay, F.col("doc_id") == F.col("_stay"), "left").filter("_stay is not null or doc_id is null")
-    kept = kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1 or doc_id is null")
-    return kept.select(*(F.col(f"`{c}`") for c in df.columns))
+    own = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    kept = own.join(stay, F.col("_id") == F.col("_stay"), "left").filter("_stay is not null or _id is null")
+    kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_text"))).filter("_nth = 1 or _id is null")
+    return kept.select("_row.*")
