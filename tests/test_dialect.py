@@ -1,0 +1,147 @@
+"""Parser and binder: one accepted and one rejected text for each production, names, types, errors."""
+
+import pytest
+
+from tidemark import errors as er
+from tidemark.plans import ast
+from tidemark.plans.binder import bind
+from tidemark.plans.parser import parse
+
+GOOD = [
+    "SELECT a FROM t", "select t.a, t.* from t", "SELECT * FROM t, u AS v, w x", "SELECT a FROM t JOIN u ON t.a = u.b JOIN w ON a = w.c", "SELECT (a + b) * c - d / e AS x FROM t;",
+    "SELECT COUNT(*), COUNT(t.*), SUM(a * b) / COUNT(a) AS r FROM t GROUP BY a, t.b", "SELECT a FROM t WHERE (a = 1 OR 5 < b) AND ((a) + 1) * 2 <> -3.5", "SELECT a FROM t WHERE d >= DATE '1995-01-05' AND c != 'x'",
+    "SELECT a FROM t ORDER BY a ASC, t.b DESC, c LIMIT 5 OFFSET 2", "SELECT a\nFROM t\nLIMIT 5", "CREATE TABLE IF NOT EXISTS t (a INT, b INTEGER NULL, c LONG NOT NULL, d DECIMAL, e CHAR(4), f DATE)",
+    "CREATE UNIQUE INDEX i ON t(a)", "CREATE INDEX i ON t (a)", "INSERT INTO t (a, b) VALUES (1, 'x'), (-2, '3'), (.5, '1995-01-05')", "UPDATE t SET a = 1, b = a + 2 WHERE a < 3", "DELETE FROM t", "DELETE FROM t WHERE a = 1",
+    "BEGIN", "commit", "Abort", "SELECT `date`, `order` FROM `table`",
+]
+BAD = [
+    "", "SELECT FROM t", "SELECT a", "SELECT a FROM", "SELECT a FROM t JOIN u", "SELECT a FROM t JOIN u ON a < b", "SELECT a FROM t WHERE", "SELECT a FROM t WHERE a", "SELECT a FROM t WHERE a = 1 OR", "SELECT a FROM t GROUP a",
+    "SELECT a FROM t ORDER BY", "SELECT a FROM t ORDER BY 1", "SELECT a FROM t LIMIT", "SELECT a FROM t LIMIT x", "SELECT a FROM t OFFSET 2", "SELECT a FROM t LIMIT 1 2", "SELECT SUM a FROM t", "SELECT date FROM t", "SELECT a FROM t WHERE a = ''",
+    "CREATE TABLE t", "CREATE TABLE t ()", "CREATE TABLE t (a TEXT)", "CREATE TABLE t (a CHAR)", "CREATE INDEX ON t(a)", "CREATE INDEX i ON t(a, b)", "INSERT INTO t (a) VALUES", "INSERT INTO t (a) VALUES (NULL)", "INSERT INTO t (a) VALUES (b)",
+    "UPDATE t SET a", "UPDATE t a = 1", "DELETE t", "DROP TABLE t", "BEGIN TRANSACTION", "SELECT a FROM t # x", "SELECT a FROM t WHERE d = DATE '1995-02-30'", "SELECT a FROM t HAVING a = 1", "SELECT a FROM t WHERE a IN (1)",
+]
+
+
+@pytest.mark.parametrize("text", GOOD)
+def test_accepts(text):
+    assert parse(text)
+
+
+@pytest.mark.parametrize("text", BAD)
+def test_rejects(text):
+    with pytest.raises(er.ParseError):
+        parse(text)
+
+
+def test_precedence():
+    item = lambda text, flat=False: str(parse(f"SELECT {text} FROM t", flat).items[0][0])
+    assert item("a + b * c") == "(a + (b * c))" and item("a + b * c", True) == "((a + b) * c)"
+    where = lambda flat: str(parse("SELECT a FROM t WHERE a = 1 OR b = 2 AND c = 3", flat).where)
+    assert where(False) == "((a = 1) OR ((b = 2) AND (c = 3)))" and where(True) == "(((a = 1) OR (b = 2)) AND (c = 3))"
+
+
+def test_deep_parentheses():
+    text = lambda n: "SELECT a FROM t WHERE " + "(" * n + "a" + ")" * n + " = 1"
+    assert isinstance(parse(text(50)).where, ast.Binary)
+    with pytest.raises(er.ParseError):
+        parse(text(5000))
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    left = spark.createDataFrame([(1, "x", 10), (2, "y", 20), (2, "y2", None)], "id int, name string, k long")
+    right = spark.createDataFrame([(2, "r2", 5), (3, "r3", 6), (2, "rr", 7)], "id int, name string, k int")
+    import datetime
+
+    types = spark.createDataFrame([(7, 2, -7, 7.0, "123", datetime.date(2020, 2, 29)), (-7, 2, 3, -2.5, "abc", datetime.date(1999, 1, 5))], "a int, b int, l long, f double, c string, d date")
+    keys = spark.createDataFrame([(a, b, v) for a in (0, 1, 256, 257) for b in (0, 1, 2) for v in (1, 2)], "a int, b int, v int")
+    empty = spark.createDataFrame([], "x int, c string")
+    return {"l": left, "r": right, "types": types, "keys": keys, "empty": empty, "Case": spark.createDataFrame([(1, 2)], "a int, A int").toDF("a", "b")}
+
+
+def run(tables, text):
+    return bind(parse(text), tables.__getitem__).df
+
+
+def rows(tables, text):
+    return sorted(map(tuple, run(tables, text).collect()), key=str)
+
+
+def test_names_and_star_order(tables):
+    assert run(tables, "SELECT * FROM l, r").columns == ["id", "name", "k"] * 2
+    assert run(tables, "SELECT l.*, r.k FROM l, r").columns == ["l.id", "l.name", "l.k", "r.k"]
+    assert run(tables, "SELECT id, l.id, id AS z, id + k, COUNT(id) AS n FROM l GROUP BY id, k").columns == ["id", "l.id", "z", "(id + k)", "n"]
+    assert run(tables, "SELECT SUM(a + b) FROM keys").columns == ["SUM((a + b))"]
+    first = run(tables, "SELECT * FROM l JOIN r ON l.id = r.id").first()
+    assert first[1].startswith("r")  # the table joined last stands first
+
+
+def test_both_names_after_a_join(tables):
+    assert rows(tables, "SELECT l.name, r.name FROM l JOIN r ON l.id = r.id") == sorted([("y", "r2"), ("y", "rr"), ("y2", "r2"), ("y2", "rr")])
+
+
+def test_theta_joins_read_as_written(tables):
+    assert rows(tables, "SELECT l.id, r.id FROM l, r WHERE r.id > l.id") == rows(tables, "SELECT l.id, r.id FROM l, r WHERE l.id < r.id")
+    assert rows(tables, "SELECT l.k, r.k FROM l, r WHERE l.k > r.k AND r.k >= 6 AND l.id <> r.id") == [(10, 6), (10, 7), (20, 6)]
+    assert rows(tables, "SELECT a.id FROM l a, l b WHERE a.id = b.id") == [(1,), (2,), (2,), (2,), (2,)]
+
+
+def test_division_and_promotion(tables):
+    assert rows(tables, "SELECT a / b, l / b, f / b FROM types") == [(-3, 1, -1.25), (3, -3, 3.5)]
+    kinds = [t for _, t in run(tables, "SELECT a * b, a * l, a + f, l - f FROM types").dtypes]
+    assert kinds == ["int", "bigint", "double", "double"]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        run(tables, "SELECT a / 0 FROM types").collect()
+
+
+def test_exact_group_keys(tables):
+    assert rows(tables, "SELECT a, b, COUNT(*), SUM(v) FROM keys GROUP BY a, b") == sorted(((a, b, 2, 3) for a in (0, 1, 256, 257) for b in (0, 1, 2)), key=str)
+    assert len(rows(tables, "SELECT a FROM keys GROUP BY a")) == 4
+    assert rows(tables, "SELECT SUM(v), SUM(v) FROM keys") == [(36, 36)]
+
+
+def test_aggregates_over_nothing_and_nulls(tables):
+    (row,) = run(tables, "SELECT COUNT(*), COUNT(x), SUM(x), AVG(x), MIN(x), MAX(c) FROM empty").collect()
+    assert tuple(row)[:3] == (0, 0, 0) and row[3] != row[3] and tuple(row)[4:] == (None, None)
+    assert rows(tables, "SELECT x, COUNT(*) FROM empty GROUP BY x") == []
+    assert rows(tables, "SELECT COUNT(*), COUNT(k), SUM(k), AVG(k), MIN(k) FROM l") == [(3, 2, 30, 15.0, 10)]
+
+
+def test_order_nulls_hidden_columns_limit(tables):
+    assert [r[0] for r in run(tables, "SELECT name FROM l ORDER BY k").collect()] == ["y2", "x", "y"]
+    assert [r[0] for r in run(tables, "SELECT name FROM l ORDER BY k DESC").collect()] == ["y", "x", "y2"]
+    assert [tuple(r) for r in run(tables, "SELECT a, b FROM keys ORDER BY a DESC, b, v LIMIT 2 OFFSET 3").collect()] == [(257, 1), (257, 2)]
+
+
+def test_literals_meet_columns(tables):
+    assert rows(tables, "SELECT a FROM types WHERE c = '123'") == [(7,)]
+    assert rows(tables, "SELECT a FROM types WHERE d < '2000-01-01'") == [(-7,)]
+    assert rows(tables, "SELECT a FROM types WHERE a > 1.5 AND 1 = 1") == [(7,)]
+    assert rows(tables, "SELECT a FROM types WHERE a + 1 < b") == [(-7,)]
+    assert rows(tables, "SELECT a FROM types WHERE 5 < a AND l = -7") == [(7,)]
+
+
+@pytest.mark.parametrize(
+    ("text", "error"),
+    [
+        ("SELECT zz FROM l", er.ColumnNotFound), ("SELECT l.zz FROM l", er.ColumnNotFound), ("SELECT q.id FROM l", er.TableNotFound), ("SELECT id FROM l, r", er.AmbiguousColumn), ("SELECT ID FROM l", er.ColumnNotFound),
+        ("SELECT id, COUNT(*) FROM l", er.ColumnNotGrouped), ("SELECT id FROM l GROUP BY k", er.ColumnNotGrouped), ("SELECT COUNT(*) FROM l GROUP BY id ORDER BY k", er.ColumnNotGrouped), ("SELECT id + name FROM l", er.AnalysisError),
+        ("SELECT SUM(name) FROM l", er.AnalysisError), ("SELECT SUM(COUNT(id)) FROM l", er.AnalysisError), ("SELECT SUM(*) FROM l", er.AnalysisError), ("SELECT id FROM l WHERE name = 5", er.AnalysisError),
+        ("SELECT id FROM l WHERE id = 'x'", er.AnalysisError), ("SELECT id FROM l WHERE id = name", er.AnalysisError), ("SELECT * FROM l, l", er.AnalysisError), ("SELECT a FROM types WHERE d = 5", er.AnalysisError), ("SELECT * AS x FROM l", er.AnalysisError),
+        ("SELECT id AS z FROM l ORDER BY z", er.ColumnNotFound), ("SELECT id FROM l JOIN r ON r.id = q.id", er.TableNotFound),
+    ],
+)
+def test_errors(tables, text, error):
+    with pytest.raises(error):
+        run(tables, text).collect()
+
+
+def test_plans_push_filters_and_choose_joins(spark, tmp_path):
+    spark.range(1000).selectExpr("cast(id as int) as id", "id as v", "'x' as c").write.parquet(str(tmp_path / "t"))
+    t = {"t": spark.read.parquet(str(tmp_path / "t"))}
+    plan = lambda text: run(t, text)._jdf.queryExecution().toString()
+    one = plan("SELECT v FROM t WHERE id > 10 AND 20 >= id")
+    assert "PushedFilters: [IsNotNull(id), GreaterThan(id,10), LessThanOrEqual(id,20)]" in one and "ReadSchema: struct<id:int,v:bigint>" in one
+    two = plan("SELECT a.v FROM t a, t b WHERE a.id = b.id")
+    assert "Cartesian" not in two.split("== Physical Plan ==")[1] and "NestedLoop" not in two.split("== Physical Plan ==")[1]
+    assert "TakeOrderedAndProject" in plan("SELECT v FROM t ORDER BY id DESC LIMIT 3")

@@ -296,4 +296,7 @@ class Parser:
 
 
 def parse(text: str, flat: bool = False) -> ast.Statement:
-    return Parser(text, flat).statement()
+    try:
+        return Parser(text, flat).statement()
+    except RecursionError as e:
+        raise ParseError("too many parentheses inside each other") from e
