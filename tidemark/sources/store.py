@@ -13,7 +13,7 @@ import os
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,10 +159,13 @@ class Store:
         df = self.spark.read.schema(table.schema).parquet(*(f"{self.folder(table)}/{f}" for f in files))
         return df.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata or {}) for f in table.schema))
 
-    def located(self, table: TableState, files: list[str]) -> DataFrame:
-        """Rows of `files` with the file of each as `_file`."""
+    def counted(self, table: TableState, files: list[str], where: Column | None = None) -> dict[str, int]:
+        """Rows of each of `files`, or those for which `where` holds; files without any are left out. One number for each file reaches the driver."""
+        if not files:
+            return {}
         df = self.spark.read.schema(table.schema).parquet(*(f"{self.folder(table)}/{f}" for f in files))
-        return df.select("*", F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1).alias("_file"))
+        found = (df if where is None else df.filter(where)).groupBy("_metadata.file_path").count().collect()
+        return {"/".join(r[0].split("/")[-2:]): r[1] for r in found}
 
     def write(self, table: TableState, df: DataFrame) -> dict[str, int]:
         """Writes new files of a table, each sorted by its indexed columns; their names and rows. Empty ones are left out."""
@@ -171,6 +174,4 @@ class Store:
             df = df.sortWithinPartitions(*(f"`{i['column']}`" for i in table.indices))
         df.write.parquet(f"{self.folder(table)}/{name}")
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder(table)}/{name}")) if s.getPath().getName().startswith("part-")]
-        files = [f"{name}/{f}" for f in found]
-        counted = self.located(table, files).groupBy("_file").count().collect() if files else []  # a row for each file
-        return {r["_file"]: r["count"] for r in counted if r["count"]}
+        return self.counted(table, [f"{name}/{f}" for f in found])

@@ -69,12 +69,11 @@ class Transaction:
         t = self.table(name)
         if not t.files:
             return 0
-        hit = self.store.located(t, list(t.files)).filter(where).groupBy("_file").count().collect()  # a row for each file hit
-        gone = [r["_file"] for r in hit]
-        if gone:
-            added = self.store.write(t, change(self.store.frame(t, gone)))
-            self._stage({"files": {name: {"add": added, "remove": gone}}})
-        return sum(r["count"] for r in hit)
+        hit = self.store.counted(t, list(t.files), where)
+        if hit:
+            added = self.store.write(t, change(self.store.frame(t, list(hit))))
+            self._stage({"files": {name: {"add": added, "remove": list(hit)}}})
+        return sum(hit.values())
 
     def index(self, name: str, table: str, column: str, unique: bool) -> None:
         """Registers an index and lays the table out by ranges of its column, so that file and row-group statistics skip what a filter rules out."""
