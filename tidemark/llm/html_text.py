@@ -172,7 +172,7 @@ def decide(b: Block) -> bool | None:
     length = len(b.text)
     if b.out or b.linked > LINKS * length:
         return False
-    if length < LONG and ("©" in b.text or "copyright" in b.text.lower()):
+    if not b.region and length < LONG and ("©" in b.text or "copyright" in b.text.lower()):
         return False
     if b.heading or length < SHORT:
         return None

@@ -63,8 +63,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-#: op6: every query against every row; op8: parts of 256 turns, spans by running sums of lengths.
+#: op4: the schedule as a recursion over slots for each kind of cycle; op6: every query against every row; op8: parts of 256 turns, spans by running sums of lengths.
 SQL = {
+    "op4_mix": """
+        WITH RECURSIVE p(target, parts) AS (VALUES ('src0', 6), ('src1', 3), ('src2', 3), ('src3', 2), ('src4', 2), ('', 14)),
+             d AS (SELECT doc_id, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN source ELSE '' END AS target FROM documents),
+             r AS (SELECT doc_id, target, parts, row_number() OVER (PARTITION BY target ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS nth FROM d JOIN p USING (target)),
+             s AS (SELECT target, parts, (count(*) + 15) // 16 AS blocks FROM r GROUP BY target, parts),
+             ends AS (SELECT DISTINCT unnest([0, blocks // parts, blocks // parts + 1]) AS first FROM s),
+             kinds AS (SELECT first, lead(first) OVER (ORDER BY first) AS last FROM ends),
+             m AS (SELECT first, last, target, CASE WHEN blocks // parts > first THEN parts WHEN blocks // parts = first THEN blocks % parts ELSE 0 END AS m FROM kinds, s WHERE last IS NOT NULL),
+             q AS (SELECT first, last, CAST(sum(m) AS BIGINT) AS slots, list(target ORDER BY target) AS ts, list(CAST(m AS BIGINT) ORDER BY target) AS ms FROM m WHERE m > 0 GROUP BY first, last),
+             starts AS (SELECT first, last, slots, CAST(sum((last - first) * slots) OVER (ORDER BY first) - (last - first) * slots AS BIGINT) AS start FROM q),
+             edf AS (SELECT first, slots, ts, ms, list_transform(ms, lambda x: CAST(0 AS BIGINT)) AS done, CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS who FROM q
+                     UNION ALL
+                     SELECT first, slots, ts, ms, list_transform(range(1, len(ms) + 1), lambda j: done[j] + CASE WHEN j = pick THEN 1 ELSE 0 END), slot + 1, pick
+                     FROM (SELECT *, list_min(list_transform(list_filter(range(1, len(ms) + 1), lambda i: done[i] < ms[i] AND done[i] * slots // ms[i] <= slot + 1),
+                                                             lambda i: (((done[i] + 1) * slots + ms[i] - 1) // ms[i]) * 1000 + i)) % 1000 AS pick
+                           FROM edf WHERE slot + 1 < slots)),
+             taken AS (SELECT first, slot, ts[who] AS target, ms[who] AS m, row_number() OVER (PARTITION BY first, ts[who] ORDER BY slot) - 1 AS part FROM edf WHERE who > 0),
+             b AS (SELECT doc_id, target, nth // 16 AS block, nth % 16 AS place, (nth // 16) // parts AS cycle, (nth // 16) % parts AS part FROM r)
+        SELECT doc_id, nullif(b.target, '') AS target, block, start + (cycle - starts.first) * slots + slot AS slot, CAST(place AS INTEGER) AS place,
+               start + (cycle - starts.first) * slots + part * slots // m AS release, start + (cycle - starts.first) * slots + ((part + 1) * slots + m - 1) // m AS deadline
+        FROM b JOIN starts ON cycle >= starts.first AND cycle < starts.last JOIN taken USING (part, target) WHERE taken.first = starts.first
+    """,
     "op6_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
