@@ -77,8 +77,9 @@ def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST,
         parts = F.when(F.col("target") == source, n).otherwise(parts)
     target = F.when(F.col("source").isin(*named), F.col("source")) if named else F.lit(None).cast("string")
     rows = df.select(*keys, target.alias("target"))
-    order = [F.xxhash64(*keys).alias("_h")]
-    told, _ = ranked(rows.withColumn("_h", order[0]), F.col("target"), F.col("_h"), *(F.col(k) for k in keys))
+    mixed = F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys)))
+    told, _ = ranked(rows.withColumn("_h", mixed), F.col("target"), F.col("_h"), *(F.col(k) for k in keys))
+    told = told.drop("_h")
     told = told.withColumn("target", F.coalesce("target", F.lit("")))  # joined by equality; no row has "" unless it is named
     sizes = told.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("base"))
     sizes = sizes.withColumn("parts", parts).withColumn("blocks", F.expr(f"(n + {block - 1}) div {block}"))
@@ -102,14 +103,20 @@ def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST,
 def in_mixed_order(df: DataFrame, **options) -> DataFrame:
     """All rows of documents with all their columns, sorted by (slot, place) over the partitions.
 
-    Rows are matched with their places by id, a hash of the whole row and their number among rows that agree in both, so null ids and
-    repeated rows keep their count.
+    Rows are matched with their places by id and a hash of the whole row, so null ids and repeated rows keep their count: rows that agree in
+    both are numbered, and matched by number as well. Where there are none, which one look at the narrow places tells, the texts are moved only
+    for the match and for the order.
     """
-    names = df.columns
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in names))
-    nth = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_row"))
-    narrow = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), row.alias("_row"), "source")
-    places = mix(narrow, keys=("_id", "_row"), **options).withColumn("_nth", nth)
-    whole = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), row.alias("_row"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_all")).withColumn("_nth", nth)
-    met = whole.join(places.select("_id", "_row", "_nth", "slot", "place"), ["_id", "_row", "_nth"])
+    names, key = df.columns, ["_id", "_row"]
+    id_, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(*(F.col(f"`{c}`") for c in names)).alias("_row")
+    same = Window.partitionBy(*key)
+    nth = F.row_number().over(same.orderBy("_row"))
+    places = mix(df.select(id_, row, "source"), keys=("_id", "_row"), **options).select(*key, "slot", "place")
+    places = places.withColumn("_nth", nth).withColumn("_times", F.count(F.lit(1)).over(same))
+    whole = df.select(id_, row, F.struct(*(F.col(f"`{c}`") for c in names)).alias("_all"))
+    met = whole.join(places.filter("_times = 1").drop("_nth", "_times"), key)
+    repeated = places.filter("_times > 1").drop("_times")
+    if not repeated.isEmpty():
+        many = whole.join(repeated.select(*key).distinct(), key).withColumn("_nth", nth)
+        met = met.unionByName(many.join(repeated, [*key, "_nth"]).drop("_nth"))
     return met.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("_all.*")
