@@ -180,6 +180,13 @@ def test_article_without_what_is_around_it(page):
     assert html_text.extract(page) == TEXT
 
 
+def test_comments_as_nested_articles_and_other_languages():
+    nested = f"<main><article>{ARTICLE}<section><h2>What readers say</h2><article><p>I think that this is the best of all the stories that were on the site.</p></article></section></article></main>"
+    assert html_text.extract(nested) == TEXT
+    line = "дом стоит на холме, в нём много комнат и большой сад вокруг него, " * 5
+    assert html_text.extract(f"<div class=nav><a href=x>Домой</a></div><div><p>{line}</p><p>Коротко.</p><p>{line}</p></div>") == f"{line.strip()}\nКоротко.\n{line.strip()}"
+
+
 def test_odd_pages():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<html>") == ""
     assert html_text.extract("<p>just one line</p>") == "just one line"

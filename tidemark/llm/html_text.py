@@ -157,7 +157,8 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID_TAGS or attributes.endswith("/") and not block:
             continue
         _, out, region = stack[-1] if stack else ("", False, 0)
-        out = out or tag in OUT_TAGS or tag == "header" and not region or _named_out(tag, attributes, region > 0)
+        out = out or tag in OUT_TAGS or tag == "article" and any(t == tag for t, _, _ in stack)  # an article inside one is a comment or a hint at another
+        out = out or tag == "header" and not region or _named_out(tag, attributes, region > 0)
         if tag in ("main", "article") and not out and not (region and tag == "main"):
             regions += 1
             region = regions
@@ -167,8 +168,8 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def decide(b: Block) -> bool | None:
-    """Pass one: True for article, False for the rest, None if the block is short or middling."""
+def decide(b: Block, by_words: bool = True) -> bool | None:
+    """Pass one: True for article, False for the rest, None if the block is short or middling. Without `by_words` length alone tells."""
     length = len(b.text)
     if b.out or b.linked > LINKS * length:
         return False
@@ -176,6 +177,8 @@ def decide(b: Block) -> bool | None:
         return False
     if b.heading or length < SHORT:
         return None
+    if not by_words:
+        return True
     words = WORD.findall(b.text.lower())
     density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if density >= STOP_HIGH or density >= STOP_LOW and length >= LONG:
@@ -186,7 +189,9 @@ def decide(b: Block) -> bool | None:
 def inherit(found: list[Block]) -> None:
     """Pass two: open blocks take the label of the nearest decided neighbours in their region."""
     regions: dict[int, list[Block]] = {}
-    for b in found:
+    for b, after in zip(found, [*found[1:], None], strict=False):
+        if b.heading and b.region and after and after.out and after.region == b.region:
+            b.label = False  # the heading of comments or hints inside an article
         if not b.out:  # what stands in a menu or notice says nothing about text between
             regions.setdefault(b.region, []).append(b)
     for region, some in regions.items():
@@ -223,9 +228,13 @@ def inherit(found: list[Block]) -> None:
 def extract(page: str | None) -> str:
     """The article's blocks, each with white space as single spaces, joined by newlines; empty for a null page."""
     found = blocks(page or "")
-    for b in found:
-        b.label = decide(b)
-    inherit(found)
+    for by_words in (True, False):  # a page without any article by its words is in a language whose stop words are not listed
+        for b in found:
+            b.label = decide(b, by_words)
+        if by_words and any(b.label is False and not b.out and not b.linked for b in found) and not any(b.label for b in found):
+            continue
+        inherit(found)
+        break
     if any(b.label and b.region for b in found):  # with an article, what stands outside is not of it
         return "\n".join(b.text for b in found if b.label and b.region)
     return "\n".join(b.text for b in found if b.label)
