@@ -39,7 +39,7 @@ def test_ddl_and_insert_rules(session):
     session.execute("CREATE TABLE t (a INT, b CHAR(3) NULL)")
     session.execute("CREATE TABLE IF NOT EXISTS t (z INT)")
     for text, error in [
-        ("CREATE TABLE t (a INT)", er.TableExists), ("CREATE TABLE u (a INT, a INT)", er.AnalysisError), ("INSERT INTO t (a) VALUES (1)", er.ColumnCannotBeNull), ("INSERT INTO t (a, z) VALUES (1, 2)", er.ColumnNotFound),
+        ("CREATE TABLE t (a INT)", er.TableExists), ("CREATE TABLE u (a INT, a INT)", er.AnalysisError), ("CREATE TABLE u (a INT, A INT)", er.AnalysisError), ("INSERT INTO t (a) VALUES (1)", er.ColumnCannotBeNull), ("INSERT INTO t (a, z) VALUES (1, 2)", er.ColumnNotFound),
         ("INSERT INTO q (a) VALUES (1)", er.TableNotFound), ("INSERT INTO t (a, b) VALUES (1)", er.AnalysisError), ("INSERT INTO t (a, b) VALUES ('x', 'y')", er.AnalysisError), ("SELECT * FROM q", er.TableNotFound),
         ("UPDATE t SET z = 1", er.ColumnNotFound), ("DELETE FROM q", er.TableNotFound), ("CREATE INDEX i ON t(z)", er.ColumnNotFound), ("COMMIT", er.NotInTransaction), ("ABORT", er.NotInTransaction),
     ]:

@@ -171,7 +171,7 @@ class Session:
 
     def _createtable(self, t: Transaction, s: ast.CreateTable) -> None:
         names = [n for n, _, _ in s.columns]
-        if len(set(names)) != len(names):
+        if len({n.lower() for n in names}) != len(names):  # Parquet columns that differ in case alone cannot be told apart
             raise AnalysisError("a column name stands twice")
         if s.if_not_exists and (s.name in t.state.tables or s.name in catalog.SYSTEM):
             return
