@@ -110,5 +110,22 @@ SQL = {
 }
 
 
+def shards_sql() -> str:
+    """op9: CRC-32 byte by byte from its table, the curve's automaton over five levels of three bits, ranks cut into runs."""
+    digits, following = sharding.hilbert_steps(3)
+    crc = lambda x: f"xor(list_reduce(regexp_extract_all(hex(encode({x})), '..'), lambda c, b: xor(c >> 8, crc[CAST(xor(c & 255, CAST('0x' || b AS BIGINT)) AS INTEGER) + 1]), 4294967295), 4294967295)"
+    level = lambda b: f"((a >> {b}) & 1) + 2 * ((l >> {b}) & 1) + 4 * ((z >> {b}) & 1)"
+    return f"""
+        WITH RECURSIVE bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+             t AS (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS crc FROM bits WHERE k = 8),
+             d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex_crc AS text_crc32, source, lang, crc FROM (SELECT *, {crc("coalesce(text, '')")} AS hex_crc FROM documents, t)),
+             c AS (SELECT doc_id, size, text_crc32, coalesce({crc("source")} % 32, 0) AS a, coalesce({crc("lang")} % 32, 0) AS l, least(length(bin(size)), 31) AS z FROM d),
+             h AS (SELECT *, list_reduce([{", ".join(level(b) for b in range(4, -1, -1))}], lambda s, x: ((s // 24) * 8 + {digits}[CAST((s % 24) * 8 + x AS INTEGER) + 1]) * 24 + {following}[CAST((s % 24) * 8 + x AS INTEGER) + 1], CAST(0 AS BIGINT)) // 24 AS curve FROM c),
+             r AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, size, doc_id) - 1 AS rank, count(*) OVER () AS n FROM h)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(rank * 16 // n AS INTEGER) AS shard,
+               CAST(rank - ((rank * 16 // n) * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(curve AS BIGINT) AS curve FROM r
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"op9_shards": shards_sql()}

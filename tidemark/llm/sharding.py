@@ -62,14 +62,14 @@ def hilbert(*dims: Column, bits: int = BITS) -> Column:
 
 
 def documents_cell(df: DataFrame) -> list[Column]:
-    """Dimensions of documents: source, language, size in powers of the square root of two. Missing columns or nulls count as 0."""
+    """Dimensions of documents: source and language by checksum, binary digits of the size. Missing columns or nulls count as 0."""
     side = 1 << BITS
 
     def named(c: str) -> Column:
         return F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(side)).cast("int") if c in df.columns else F.lit(0)
 
-    size = F.floor(2 * F.log2(F.col("size").cast("double"))).cast("int")
-    return [F.coalesce(named("source"), F.lit(0)), F.coalesce(named("lang"), F.lit(0)), F.least(size, F.lit(side - 1))]
+    digits = F.length(F.bin("size"))
+    return [F.coalesce(named("source"), F.lit(0)), F.coalesce(named("lang"), F.lit(0)), F.least(digits, F.lit(side - 1))]
 
 
 def shard(df: DataFrame, shards: int = SHARDS) -> DataFrame:
