@@ -32,15 +32,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ranked(df: DataFrame, *order: Column) -> tuple[DataFrame, DataFrame]:
+def ranked(df: DataFrame, *order: Column, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """`df` with `rank` (long, gapless from 0) in the total order `order`, and its per-partition counts.
 
     Rows are dealt by range, so no key can fill one task as long as `order` ends in something that tells
     rows apart; a row's rank is its place in its partition plus the sizes of the partitions before, of
     which there are as many as shuffle partitions. Give it narrow rows: it checkpoints them once, so that
-    counts and places come from one and the same dealing even after executors are lost.
+    counts and places come from one and the same dealing even after executors are lost. Dealing by range looks at the rows twice, for
+    the bounds and for the rows; with `once` rows that are dear to compute are checkpointed before.
     """
     spark = df.sparkSession
+    if once:
+        df = checkpointed(df)
     dealt = checkpointed(df.repartitionByRange(width(spark), *order).sortWithinPartitions(*order))
     placed = dealt.select(
         "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")

@@ -82,7 +82,7 @@ def shard(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     told = df.withColumn("size", F.octet_length(text).cast("long") + 1)
     cell = documents_cell(told)
     told = told.select("doc_id", "size", F.crc32(text.cast("binary")).alias("text_crc32"), hilbert(*cell).alias("curve"))
-    out, sizes = ranked(told, F.col("curve"), F.col("text_crc32"), F.col("size"), F.col("doc_id"))
+    out, sizes = ranked(told, F.col("curve"), F.col("text_crc32"), F.col("size"), F.col("doc_id"), once=True)  # texts are read once
     out = out.crossJoin(F.broadcast(sizes.agg(F.sum("_n").alias("_all"))))  # one row
     out = out.withColumn("shard", F.expr(f"(rank * {shards}) div _all").cast("int"))
     first = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
