@@ -157,6 +157,10 @@ def test_mixed_order_keeps_every_row(spark):
     got = mixing.in_mixed_order(frame, block=4)
     assert got.columns == frame.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, frame.collect()))
+    single = docs(spark, [(i, f"text {i}", random.Random(i).choice(["src0", "src1", None]), "en") for i in range(300)])
+    place = {r["doc_id"]: (r["slot"], r["place"]) for r in mixing.mix(single.selectExpr("doc_id as _id", "xxhash64(*) as _row", "doc_id", "source"), block=4, keys=("_id", "_row")).withColumnRenamed("_id", "doc_id").collect()}
+    order = [place[r["doc_id"]] for r in mixing.in_mixed_order(single, block=4).collect()]
+    assert order == sorted(order) and len(order) == 300
 
 
 # ---- quality

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import ranked, width
 
 BLOCK = 16
 #: Parts of named sources; all other sources together have the parts REST.
@@ -115,8 +115,13 @@ def in_mixed_order(df: DataFrame, **options) -> DataFrame:
     places = places.withColumn("_nth", nth).withColumn("_times", F.count(F.lit(1)).over(same))
     whole = df.select(id_, row, F.struct(*(F.col(f"`{c}`") for c in names)).alias("_all"))
     met = whole.join(places.filter("_times = 1").drop("_nth", "_times"), key)
-    repeated = places.filter("_times > 1").drop("_times")
-    if not repeated.isEmpty():
+    last, times = places.agg(F.max("slot"), F.max("_times")).first()
+    if last is None:
+        return df  # there are no rows
+    if times > 1:
+        repeated = places.filter("_times > 1").drop("_times")
         many = whole.join(repeated.select(*key).distinct(), key).withColumn("_nth", nth)
         met = met.unionByName(many.join(repeated, [*key, "_nth"]).drop("_nth"))
-    return met.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("_all.*")
+    # slots are gapless, so equal runs of them are known without the look at the rows that a range partitioning takes
+    n = width(df.sparkSession)
+    return met.repartitionById(n, F.expr(f"cast(slot * {n} div {last + 1} as int)")).sortWithinPartitions("slot", "place").select("_all.*")
