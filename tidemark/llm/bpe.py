@@ -102,12 +102,12 @@ def _encode(path: str, pattern: str):
     return run
 
 
-def _decode(path: str):
+def _decode(path: str, keep_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = _vocabulary(path)
         for whole in batches:
             at = whole.schema.get_field_index("ids")
-            keep = [i for i in range(whole.num_columns) if i != at]
+            keep = [i for i in range(whole.num_columns) if keep_ids or i != at]
             for begin, end in _slices(pc.fill_null(pc.list_value_length(whole.column(at)), 0).to_numpy(zero_copy_only=False), 1 << 19):
                 batch = whole.slice(begin, end - begin)
                 out = [b"".join(map(raw.__getitem__, x or ())) for x in batch.column(at).to_pylist()]
@@ -116,8 +116,14 @@ def _decode(path: str):
     return run
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row (id, ids array<int>) per row of `df`.
+def _both(path: str, pattern: str):
+    """Encodes and decodes in one worker, so that an executor holds one Python process for each task, not two."""
+    there, back = _encode(path, pattern), _decode(path, keep_ids=True)
+    return lambda batches: back(there(batches))
+
+
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """One row (id, ids array<int>) per row of `df`; with `decoded` also what the ids decode to.
 
     A null text counts as empty and has no ids; a null or repeated id is carried as it is, repeated rows
     give repeated results; other columns are not read, whatever their names. Texts of any length are encoded whole.
@@ -125,7 +131,11 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("piece"))
     id_type = rows.schema["id"].dataType.simpleString()
-    short = rows.filter(F.length("piece") <= chunk).mapInArrow(_encode(path, pattern), f"id {id_type}, ids array<int>")
+    short = rows.filter(F.length("piece") <= chunk)
+    if decoded:
+        short = short.mapInArrow(_both(path, pattern), f"id {id_type}, ids array<int>, decoded binary")
+    else:
+        short = short.mapInArrow(_encode(path, pattern), f"id {id_type}, ids array<int>")
 
     size = F.length("piece")
     cut = rows.filter(size > chunk).select(F.monotonically_increasing_id().alias("row"), "id", "piece", F.ceil((size - overlap) / F.lit(chunk)).cast("int").alias("n"))
@@ -150,6 +160,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     coded = pieces.mapInArrow(_encode(path, pattern), f"row bigint, id {id_type}, part bigint, ids array<int>")
     whole = coded.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("p"))
     long = whole.select("id", F.flatten("p.ids").alias("ids"))
+    if decoded:
+        long = long.mapInArrow(_decode(path, keep_ids=True), f"id {id_type}, ids array<int>, decoded binary")
     return short.unionByName(long).withColumnRenamed("id", id_col)
 
 
@@ -166,8 +178,6 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 def digests(df: DataFrame, path: str, pattern: str, **options) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for documents (doc_id, text)."""
-    ids = encode(df, path, pattern, **options)
-    told = ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), "ids"
-    )
-    return decode(told, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode(df, path, pattern, decoded=True, **options)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
