@@ -100,6 +100,18 @@ def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST,
     )
 
 
+def keyed(df: DataFrame) -> tuple[Column, Column]:
+    """`_id` and `_row`, a hash of the whole row, by which rows are matched with their places."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
+def places(df: DataFrame, **options) -> DataFrame:
+    """(_id, _row, _nth, _times, slot, place) of all rows of documents, _nth numbering the _times rows that agree in id and content."""
+    same = Window.partitionBy("_id", "_row")
+    found = mix(df.select(*keyed(df), "source"), keys=("_id", "_row"), **options).select("_id", "_row", "slot", "place")
+    return found.withColumn("_nth", F.row_number().over(same.orderBy("_row"))).withColumn("_times", F.count(F.lit(1)).over(same))
+
+
 def in_mixed_order(df: DataFrame, **options) -> DataFrame:
     """All rows of documents with all their columns, sorted by (slot, place) over the partitions.
 
@@ -108,18 +120,15 @@ def in_mixed_order(df: DataFrame, **options) -> DataFrame:
     for the match and for the order.
     """
     names, key = df.columns, ["_id", "_row"]
-    id_, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(*(F.col(f"`{c}`") for c in names)).alias("_row")
-    same = Window.partitionBy(*key)
-    nth = F.row_number().over(same.orderBy("_row"))
-    places = mix(df.select(id_, row, "source"), keys=("_id", "_row"), **options).select(*key, "slot", "place")
-    places = places.withColumn("_nth", nth).withColumn("_times", F.count(F.lit(1)).over(same))
-    whole = df.select(id_, row, F.struct(*(F.col(f"`{c}`") for c in names)).alias("_all"))
-    met = whole.join(places.filter("_times = 1").drop("_nth", "_times"), key)
-    last, times = places.agg(F.max("slot"), F.max("_times")).first()
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("_row"))
+    found = places(df, **options)
+    whole = df.select(*keyed(df), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_all"))
+    met = whole.join(found.filter("_times = 1").drop("_nth", "_times"), key)
+    last, times = found.agg(F.max("slot"), F.max("_times")).first()
     if last is None:
         return df  # there are no rows
     if times > 1:
-        repeated = places.filter("_times > 1").drop("_times")
+        repeated = found.filter("_times > 1").drop("_times")
         many = whole.join(repeated.select(*key).distinct(), key).withColumn("_nth", nth)
         met = met.unionByName(many.join(repeated, [*key, "_nth"]).drop("_nth"))
     # slots are gapless, so equal runs of them are known without the look at the rows that a range partitioning takes
