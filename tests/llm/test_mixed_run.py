@@ -1,6 +1,7 @@
 """The mix in the pipeline's result."""
 
 import collections
+import random
 
 import pyarrow.parquet as pq
 
@@ -30,3 +31,31 @@ def test_slots_of_tokens_are_those_of_the_mixed_order(spark):
     got = corpus_pipeline.tokens(spark, frame.orderBy("text"), DATA).collect()
     assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["slot"], r["place"]))] == mixed
     assert len(mixed) == 303
+
+
+def test_every_source_keeps_its_weight(spark):
+    rnd = random.Random(2)
+    names = ["src0"] * 300 + ["src1"] * 40 + ["hot"] * 200 + [*"abcdefg", None, ""] * 8
+    source = [rnd.choice(names) for _ in range(6000)]
+    frame = docs(spark, [(i, f"text {i}", s, "en") for i, s in enumerate(source)])
+    mixed = [source[r["doc_id"]] for r in corpus_pipeline.mixing_sources(spark, frame, DATA).collect()]
+    got = sorted(mixing.mix(frame, each=True).collect(), key=lambda r: (r["slot"], r["place"]))
+    assert sorted(r["doc_id"] for r in got) == list(range(6000))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["slot"]].append(source[r["doc_id"]])
+    assert sorted(slots) == list(range(len(slots))) and all(len(set(s)) == 1 for s in slots.values())
+    order = [slots[i][0] for i in range(len(slots))]
+    others = set(source) - set(mixing.TARGETS)
+    parts = {s: mixing.TARGETS.get(s, mixing.REST / len(others)) for s in set(source)}
+    assert len(others) == 10
+    blocks = collections.Counter(order)
+    whole = min(blocks[s] / parts[s] for s in parts) * sum(parts.values())
+    for end in range(1, int(whole) - sum(mixing.TARGETS.values())):  # while no source has run out
+        for s in parts:
+            assert abs(order[:end].count(s) - end * parts[s] / sum(parts.values())) < 1, (s, end)
+    assert whole > 60
+    for end in range(1, 16 * (int(whole) - sum(mixing.TARGETS.values()))):  # the stage's own order, in rows
+        for s in parts:
+            assert abs(mixed[:end].count(s) - end * parts[s] / sum(parts.values())) < 32, (s, end)

@@ -64,11 +64,27 @@ def schedule(blocks: DataFrame) -> DataFrame:
     return taken.withColumn("part", F.row_number().over(Window.partitionBy("first", "target").orderBy("slot")) - 1)
 
 
-def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST, block: int = BLOCK, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _in_turns(told: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (target, _source, rank) with block and _at for blocks of one source each, and (target, base, blocks).
+
+    The sources of a target take turns until they run out: its blocks are in the order of their numbers within their sources. Of n sources each is then
+    within (n - 1) / n blocks of its share of the target's blocks, and as those are within one of theirs, within one block of its weight.
+    """
+    begins = told.groupBy("target", "_source").agg(F.min("rank").alias("_begin"))
+    told = told.join(begins, ["target", "_source"]).withColumn("_at", F.col("rank") - F.col("_begin")).withColumn("_k", F.expr(f"_at div {block}")).drop("_begin", "rank")
+    heads = told.filter(f"_at % {block} = 0").select("target", "_source", "_k")  # a row for each block
+    turns, _ = ranked(heads, F.col("target"), F.col("_k"), F.col("_source"))
+    sizes = turns.groupBy("target").agg(F.min("rank").alias("base"), F.count(F.lit(1)).alias("blocks"))
+    turns = turns.join(F.broadcast(sizes.drop("blocks")), "target").select("target", "_source", "_k", (F.col("rank") - F.col("base")).alias("block"))
+    return told.join(turns, ["target", "_source", "_k"]), sizes
+
+
+def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST, block: int = BLOCK, keys: tuple[str, ...] = ("doc_id",), each: bool = False) -> DataFrame:
     """Keys of all rows of documents (doc_id, source) with target, block, slot, place, release and deadline.
 
     Reading by (slot, place) gives the mix; slots are gapless from 0, and release <= slot < deadline. `target` is the source if it is one of
     `targets`, else null: unnamed sources and a null source share the parts `rest`. Null and repeated ids are placed like others.
+    With `each` the sources that share `rest` form blocks of their own and take turns in its slots, so each has an equal share of `rest` as its weight.
     Each row of `df` is in the result once, so a source larger than its weight ends with what is left of the others used up.
     """
     named = TARGETS if targets is None else targets
@@ -76,16 +92,23 @@ def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST,
     for source, n in named.items():
         parts = F.when(F.col("target") == source, n).otherwise(parts)
     target = F.when(F.col("source").isin(*named), F.col("source")) if named else F.lit(None).cast("string")
-    rows = df.select(*keys, target.alias("target"))
+    own_source = [F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source")] if each else []
+    rows = df.select(*keys, target.alias("target"), *own_source)
     mixed = F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys)))
-    told, _ = ranked(rows.withColumn("_h", mixed), F.col("target"), F.col("_h"), *(F.col(k) for k in keys))
+    within = ["target", "_source"] if each else ["target"]
+    told, _ = ranked(rows.withColumn("_h", mixed), *(F.col(c) for c in within), F.col("_h"), *(F.col(k) for k in keys))
     told = told.drop("_h")
     told = told.withColumn("target", F.coalesce("target", F.lit("")))  # joined by equality; no row has "" unless it is named
-    sizes = told.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("base"))
-    sizes = sizes.withColumn("parts", parts).withColumn("blocks", F.expr(f"(n + {block - 1}) div {block}"))
+    if each:
+        told, sizes = _in_turns(told, block)
+    else:
+        sizes = told.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("base"))
+        sizes = sizes.withColumn("blocks", F.expr(f"(n + {block - 1}) div {block}"))
+    sizes = sizes.withColumn("parts", parts)
     slots = schedule(sizes.select("target", "parts", "blocks"))
     own = told.join(F.broadcast(sizes.select("target", "parts", "base")), "target")  # a row for each target
-    own = own.withColumn("_at", F.col("rank") - F.col("base")).withColumn("block", F.expr(f"_at div {block}"))
+    if not each:
+        own = own.withColumn("_at", F.col("rank") - F.col("base")).withColumn("block", F.expr(f"_at div {block}"))
     own = own.withColumn("_cycle", F.expr("block div parts")).withColumn("part", F.expr("cast(block % parts as int)"))
     met = own.join(F.broadcast(slots), ["target", "part"]).filter("_cycle >= first and _cycle < last")
     begin = F.col("start") + (F.col("_cycle") - F.col("first")) * F.col("slots")
