@@ -25,8 +25,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is the whole run either way
 JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30}PRIVATE KEY)-----")
-#: Base64 of a DER sequence begins with M, of an OpenSSH key with its magic string.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{31,}={0,2}")
+#: Base64 of a DER sequence begins with M, of an OpenSSH key with its magic string, of a PEM with its dashes.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{31,}={0,2}")
+#: Line ends within a string literal, once or more escaped.
+ESCAPED = re.compile(r"\\+[nr]")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 INTEGER, OCTETS, OID, SEQUENCE = 2, 4, 6, 48
 
@@ -114,6 +116,22 @@ def _key(data: bytes | None) -> bool:
     return data is not None and (private_der(data) or private_openssh(data))
 
 
+def _pems(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the private keys between their BEGIN and END lines; line ends may be escaped."""
+    for m in PEM.finditer(text) if "-----BEGIN " in text else ():
+        close = f"-----END {m[1]}-----"
+        if (end := text.find(close, m.end())) >= 0:
+            body = ESCAPED.sub("\n", text[m.end() : end])
+            lines = [x for x in body.split("\n") if ":" not in x]  # header lines of encrypted keys
+            if _key(unbase64("".join("".join(lines).split()))) or "ENCRYPTED" in body and len(lines) > 2:
+                yield m.start(), end + len(close)
+
+
+def _whole_pem(data: bytes | None) -> bool:
+    """Whether `data` is text with a private key's PEM."""
+    return data is not None and data.startswith(b"-----BEGIN") and any(_pems(data.decode("latin-1")))
+
+
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of all spans of a text, sorted; code points, end exclusive."""
     text = text or ""
@@ -123,13 +141,8 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "ey" in text and "." in text:
         spans += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if signed_token(m[0])]
-    for m in PEM.finditer(text) if "-----BEGIN " in text else ():
-        close = f"-----END {m[1]}-----"
-        if (end := text.find(close, m.end())) >= 0:
-            lines = [x for x in text[m.end() : end].split("\n") if ":" not in x]  # header lines of encrypted keys
-            if _key(unbase64("".join("".join(lines).split()))) or "ENCRYPTED" in text[m.end() : end] and len(lines) > 2:
-                spans.append((m.start(), 4, end + len(close)))
-    spans += [(m.start(), 5, m.end()) for m in BASE64.finditer(text) if _key(unbase64(m[0]))]
+    spans += [(start, 4, end) for start, end in _pems(text)]
+    spans += [(m.start(), 5, m.end()) for m in BASE64.finditer(text) if _key(data := unbase64(m[0])) or _whole_pem(data)]
     spans += [(m.start(), 6, m.end()) for m in HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and _key(bytes.fromhex(m[0]))]
     return sorted(spans)
 
