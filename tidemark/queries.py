@@ -5,7 +5,6 @@ Queries that change tables run a session over a warehouse of their own in the fo
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from .functions.aggregates import aggregate
 from .functions.scalar import divide_whole
 from .operators import relational as op
 from .session import Session
+from .shared import shared_folder
 from .types import ColumnType
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,7 @@ def _dialect(name: str, text: str, sql: str | None = None, *tables: str) -> None
 
 
 def _session(spark: SparkSession, sf_dir: str, *tables: str) -> Session:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    session = Session(spark, f"{shared}/tidemark-{uuid.uuid4().hex}")
+    session = Session(spark, f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}")
     for t in tables:
         session.view(t, op.scan(spark, sf_dir, t))
     return session
