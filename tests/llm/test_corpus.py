@@ -10,7 +10,7 @@ import pytest
 import regex
 import xxhash
 
-from tidemark.llm import chat, mixing, quality, sharding, simhash, topk
+from tidemark.llm import chat, common, mixing, quality, sharding, simhash, topk
 
 CLASH = "rank long, _part string, slot string, size string, fingerprint string, component_id int, _nth int, _row string, row string, verdict int"
 EXTRA = (1, "p", "s", "z", "f", 2, 3, "r", "w", 4)
@@ -74,10 +74,52 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert len(set(root.values())) < len(root)  # there is something to link
 
+
+def plain_stay(rows):
+    """(doc_id, text) of the rows that stay: of each component the smallest id, null last, then any row of it."""
+    prints = [plain_fingerprint(t) for _, t, *_ in rows]
+    root = plain_components(prints)
+    least = {}
+    for (i, *_), p in zip(rows, prints, strict=True):
+        own = (i is None, i if i is not None else "")
+        least[root[p]] = min(least.get(root[p], own), own)
+    return least
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_one_row_of_each_component_stays(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
+    said = texts(40)
+    rows = [(1000 - i, t, "s", "en") for i, t in enumerate(said)]
+    rows += [rows[5], (None, rows[5][1], "s", "en"), (None, "none other says this at all", "s", "en"), (3, said[0], "s", "en"), (7, said[0], "s", "en"), (7, said[1] + " and more words of its own", "s", "en")]
+    rows += [(2000 + i % 50, "one text of most rows", "s", "en") for i in range(300)] + [(None, f"no id {i % 7} has this text", "s", "en") for i in range(60)]
     stay = simhash.one_of_each(docs(spark, rows))
     assert stay.columns == docs(spark, rows).columns
-    assert sorted([r["doc_id"] for r in stay.collect() if r["doc_id"] is not None]) == sorted({x for x in least.values() if x is not None})
-    assert sum(r["doc_id"] is None for r in stay.collect()) == 2
+    got = stay.collect()
+    root = plain_components([plain_fingerprint(t) for _, t, *_ in rows])
+    assert len(got) == len(set(root.values()))
+    found = {root[plain_fingerprint(r["text"])]: (r["doc_id"] is None, r["doc_id"] if r["doc_id"] is not None else "") for r in got}
+    assert found == plain_stay(rows)
+
+
+def test_one_fingerprint_for_most_rows_and_many_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 3)
+    rows = [(None if i % 3 == 0 else i, "the same words for most rows" if i % 4 else f"own words {i} of row {i} alone", "s", "en") for i in range(400)]
+    prints = {t: plain_fingerprint(t) for _, t, *_ in rows}
+    root = plain_components(prints.values())
+    least = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            least[root[prints[t]]] = min(least.get(root[prints[t]], i), i)
+    got = simhash.near_duplicates(docs(spark, rows)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, f"{prints[t]:016x}", least.get(root[prints[t]]))) for i, t, *_ in rows)
+
+
+def test_hubs_of_links_are_contracted(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 3)
+    edges = [(0, i) for i in range(1, 200)] + [(i, 1000) for i in range(300, 450)]  # a hub that is smallest, one that is largest
+    got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(1, 200)} | {i: 300 for i in [*range(301, 450), 1000]}
 
 
 def test_links_find_every_pair_within_the_threshold(spark):

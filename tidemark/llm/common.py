@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
 #: ASCII white space, the only separators of the word contracts.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -21,17 +21,54 @@ def width(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and cut from its lineage, in the folder that the cluster shares.
+    """`df` computed once and cut from its lineage, in the folder that the cluster shares (see `shared_folder`).
 
-    `spark.checkpoint.dir` is used when the session has it; a temporary folder is set only where
-    it does not, which is right on one machine (tests) alone.
+    With `spark.cleaner.referenceTracking.cleanCheckpoints` its files go when nothing refers to them any more.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: What tells rows apart when they are matched: two hashes of all columns, 96 bits together.
+ROW = ["_row", "_more"]
+#: Rows of one key that a task takes in any case.
+FEW = 10_000
+
+
+def row_hashes(df: DataFrame) -> list[Column]:
+    """The columns ROW."""
+    whole = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(*whole).alias("_row"), F.hash(*whole).alias("_more")]
+
+
+def only(df: DataFrame, stay: DataFrame, repeated: bool) -> DataFrame:
+    """The rows of `df` whose hashes are in `stay` (_row, _more), with all their columns; of rows that agree in all columns one.
+
+    With `repeated` rows that agree are folded in their tasks before they are moved, so any number of them moves as one row for each task.
+    """
+    own = df.select(*row_hashes(df), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_all"))
+    if repeated:
+        own = own.groupBy(*ROW).agg(F.first("_all").alias("_all"))
+    return own.join(stay.select(*ROW), ROW).select("_all.*")
+
+
+def repeats(rows: DataFrame) -> bool:
+    """Whether any of `rows` (_row, _more, ...) agree in their hashes."""
+    return rows.groupBy(*ROW).count().filter("count > 1").limit(1).count() > 0
+
+
+def joined(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` joined by `key` with `per_key`, which has a row for each key and in `n` at least the number of its rows; `total` is the sum of all n.
+
+    Keys of more rows than a quarter of what a task takes on average are not moved: there are at most four for each task, so their rows of `per_key` are broadcast,
+    whatever the data. All others are joined by a shuffle in which no key can fill a task.
+    """
+    most = max(FEW, total // (4 * width(rows.sparkSession)))
+    hot = F.broadcast(per_key.filter(F.col("n") > most).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(per_key.filter(F.col("n") <= most).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def ranked(df: DataFrame, *order: Column, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """`df` with `rank` (long, gapless from 0) in the total order `order`, and its per-partition counts.
 

@@ -13,10 +13,13 @@ two kinds of cycle for each target besides the first, and each kind is scheduled
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, width
+from .common import ROW, ranked, row_hashes, width
 
 BLOCK = 16
 #: Parts of named sources; all other sources together have the parts REST.
@@ -79,11 +82,12 @@ def _in_turns(told: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     return told.join(turns, ["target", "_source", "_k"]), sizes
 
 
-def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST, block: int = BLOCK, keys: tuple[str, ...] = ("doc_id",), each: bool = False) -> DataFrame:
-    """Keys of all rows of documents (doc_id, source) with target, block, slot, place, release and deadline.
+def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST, block: int = BLOCK, keys: tuple[str, ...] = ("doc_id",), each: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Keys of all rows of documents (doc_id, source) with target, block, slot, place, release and deadline, and the columns `carry` as they are.
 
     Reading by (slot, place) gives the mix; slots are gapless from 0, and release <= slot < deadline. `target` is the source if it is one of
-    `targets`, else null: unnamed sources and a null source share the parts `rest`. Null and repeated ids are placed like others.
+    `targets`, else null: unnamed sources and a null source share the parts `rest`. Null and repeated ids are placed like others; rows whose keys are all null are
+    dealt by their number, so they do not fill one task.
     With `each` the sources that share `rest` form blocks of their own and take turns in its slots, so each has an equal share of `rest` as its weight.
     Each row of `df` is in the result once, so a source larger than its weight ends with what is left of the others used up.
     """
@@ -93,11 +97,12 @@ def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST,
         parts = F.when(F.col("target") == source, n).otherwise(parts)
     target = F.when(F.col("source").isin(*named), F.col("source")) if named else F.lit(None).cast("string")
     own_source = [F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source")] if each else []
-    rows = df.select(*keys, target.alias("target"), *own_source)
+    none = reduce(and_, (F.col(k).isNull() for k in keys))
+    rows = df.select(*keys, *carry, target.alias("target"), *own_source, F.when(none, F.monotonically_increasing_id()).alias("_salt"))
     mixed = F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys)))
     within = ["target", "_source"] if each else ["target"]
-    told, _ = ranked(rows.withColumn("_h", mixed), *(F.col(c) for c in within), F.col("_h"), *(F.col(k) for k in keys))
-    told = told.drop("_h")
+    told, _ = ranked(rows.withColumn("_h", mixed), *(F.col(c) for c in within), F.col("_h"), *(F.col(k) for k in keys), F.col("_salt"))
+    told = told.drop("_h", "_salt")
     told = told.withColumn("target", F.coalesce("target", F.lit("")))  # joined by equality; no row has "" unless it is named
     if each:
         told, sizes = _in_turns(told, block)
@@ -114,6 +119,7 @@ def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST,
     begin = F.col("start") + (F.col("_cycle") - F.col("first")) * F.col("slots")
     return met.select(
         *keys,
+        *carry,
         F.when(F.col("target") != "", F.col("target")).alias("target"),
         "block",
         (begin + F.col("slot")).alias("slot"),
@@ -123,37 +129,37 @@ def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST,
     )
 
 
-def keyed(df: DataFrame) -> tuple[Column, Column]:
-    """`_id` and `_row`, a hash of the whole row, by which rows are matched with their places."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+def keyed(df: DataFrame) -> list[Column]:
+    """`_id`, which only orders, of any type and null as it is, and the columns ROW."""
+    return [F.col("doc_id").alias("_id"), *row_hashes(df)]
 
 
 def places(df: DataFrame, **options) -> DataFrame:
-    """(_id, _row, _nth, _times, slot, place) of all rows of documents, _nth numbering the _times rows that agree in id and content."""
-    same = Window.partitionBy("_id", "_row")
-    found = mix(df.select(*keyed(df), "source"), keys=("_id", "_row"), **options).select("_id", "_row", "slot", "place")
-    return found.withColumn("_nth", F.row_number().over(same.orderBy("_row"))).withColumn("_times", F.count(F.lit(1)).over(same))
+    """(_row, _more, slot, place) of all rows of documents; a place for each of the rows that agree in all columns."""
+    found = mix(df.select(*keyed(df), "source"), keys=("_id", "_row"), carry=("_more",), **options)
+    return found.select(*ROW, "slot", "place")
 
 
 def in_mixed_order(df: DataFrame, **options) -> DataFrame:
     """All rows of documents with all their columns, sorted by (slot, place) over the partitions.
 
-    Rows are matched with their places by id and a hash of the whole row, so null ids and repeated rows keep their count: rows that agree in
-    both are numbered, and matched by number as well. Where there are none, which one look at the narrow places tells, the texts are moved only
-    for the match and for the order.
+    Rows are matched with their places by hashes of the whole row, so ids may have any type, be null or repeat. Rows that agree in all columns
+    are folded to one before they meet their places, so any number of them moves as one text for each task. Where there are none, which one
+    look at the narrow places tells, the texts are moved only for the match and for the order. An empty table is returned as it is; other columns may have any names.
     """
-    names, key = df.columns, ["_id", "_row"]
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("_row"))
+    names = df.columns
     found = places(df, **options)
-    whole = df.select(*keyed(df), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_all"))
-    met = whole.join(found.filter("_times = 1").drop("_nth", "_times"), key)
-    last, times = found.agg(F.max("slot"), F.max("_times")).first()
+    whole = df.select(*keyed(df)[1:], F.struct(*(F.col(f"`{c}`") for c in names)).alias("_all"))
+    times = found.groupBy(*ROW).agg(F.count(F.lit(1)).alias("_times"), F.max("slot").alias("_last"))
+    last, most = times.agg(F.max("_last"), F.max("_times")).first()
     if last is None:
         return df  # there are no rows
-    if times > 1:
-        repeated = found.filter("_times > 1").drop("_times")
-        many = whole.join(repeated.select(*key).distinct(), key).withColumn("_nth", nth)
-        met = met.unionByName(many.join(repeated, [*key, "_nth"]).drop("_nth"))
+    if most == 1:
+        met = whole.join(found, ROW)
+    else:
+        again = times.filter("_times > 1").select(*ROW)
+        folded = whole.join(again, ROW, "left_semi").groupBy(*ROW).agg(F.first("_all").alias("_all"))
+        met = whole.join(found.join(again, ROW, "left_anti"), ROW).unionByName(folded.join(found, ROW))
     # slots are gapless, so equal runs of them are known without the look at the rows that a range partitioning takes
     n = width(df.sparkSession)
     return met.repartitionById(n, F.expr(f"cast(slot * {n} div {last + 1} as int)")).sortWithinPartitions("slot", "place").select("_all.*")

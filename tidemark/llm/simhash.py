@@ -20,13 +20,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import ROW, checkpointed, joined, only, repeats, row_hashes, width
 
 THRESHOLD, SHINGLE, SEED = 2, 3, 42
 BLOCKS = ((0, 23), (23, 23), (46, 18))
+#: Anchors of a fingerprint on average, and replicas that a task makes.
+REPLICAS, TASK_ROWS = 119, 1 << 22
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 
@@ -190,8 +192,11 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Every pair a < b of the distinct fingerprints `prints` (print) that differ in at most `threshold` bits, once."""
     if threshold > THRESHOLD:
         raise ValueError(f"the anchors are laid out for at most {THRESHOLD} differing bits")
+    prints = checkpointed(prints.select("print"))
     own = prints.mapInArrow(_own, "anchor bigint, a bigint")
-    all_ = prints.mapInArrow(_replicas, "anchor bigint, b bigint")
+    # dealt by the size after replication: a checkpoint may hold its rows in a few partitions
+    n = max(width(prints.sparkSession), -(-prints.count() * REPLICAS // TASK_ROWS))
+    all_ = prints.repartition(n, "print").mapInArrow(_replicas, "anchor bigint, b bigint")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
     return all_.join(own.hint("shuffle_hash"), (own["anchor"] == all_["anchor"]) & close).select("a", "b")
 
@@ -210,10 +215,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = told(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = joined(both.filter("b > a"), least, "a", 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = joined(large, least, "a", 2 * state[0])
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(moved.select("a", F.col("m").alias("b")))
         now = checkpointed(small.filter("a <> b").distinct())
         before, state = state, told(now)
@@ -230,23 +235,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids only. Other columns are not read.
     """
     prints = checkpointed(fingerprints(df, id_col, text_col))
-    distinct = checkpointed(prints.groupBy("print").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("print"), threshold))
-    placed = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(smallest, "root").select("print", "component_id")
-    return prints.join(classes, "print").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    found = classes(prints, F.min("id"), threshold)
+    known = found.select("print", F.col("least").alias("component_id"), "n")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return joined(prints, known, "print", total).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, **options) -> DataFrame:
+def classes(prints: DataFrame, least: Column, threshold: int = THRESHOLD) -> DataFrame:
+    """(print, root, n, least) for each distinct fingerprint of `prints` (id, print): its class, its rows, and the least `least` of the class."""
+    distinct = checkpointed(prints.groupBy("print").agg(least.alias("own"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(distinct, threshold))
+    placed = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "own", "n", F.coalesce("root", "print").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("_prints"))
+    total = F.col("_prints").alias("n")
+    placed = placed.withColumnRenamed("n", "_n")
+    many = distinct.count()
+    return checkpointed(joined(placed, smallest.select("root", "least", total), "root", many).select("print", "root", F.col("_n").alias("n"), "least"))
+
+
+def one_of_each(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `df` (doc_id, text, ...) without all but one of each group of near-duplicates.
 
-    The row of the smallest doc_id stays; of rows that repeat that doc_id one stays (of the smallest text hash).
-    A row without an id stays, as no other can be told to stand for it.
+    The row of the smallest doc_id stays (null last), of those the one of the smallest hash of its text, then of all its columns; of rows that agree
+    in all columns one. Ids may have any type, be null or repeat; a null text counts as empty; other columns may have any names.
     """
-    found = near_duplicates(df, **options)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    own = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
-    kept = own.join(stay, F.col("_id") == F.col("_stay"), "left").filter("_stay is not null or _id is null")
-    kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_text"))).filter("_nth = 1 or _id is null")
-    return kept.select("_row.*")
+    ranks = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_said"), *row_hashes(df)).alias("id")
+    prints = checkpointed(fingerprints(df.select(ranks, "text"), "id", "text"))
+    stay = classes(prints, F.min("id"), threshold).groupBy("root").agg(F.first("least").alias("least"))
+    return only(df, stay.select(*(F.col(f"least.{c}").alias(c) for c in ROW)), repeats(prints.select(*(F.col(f"id.{c}").alias(c) for c in ROW))))
