@@ -5,9 +5,11 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -43,6 +45,38 @@ def test_encoding_equals_the_library_however_texts_are_cut(spark, chunk, overlap
     assert sorted(map(tuple, got.collect()), key=str) == sorted((told(*r) for r in documents()), key=str)
 
 
+def plain_ids(text, ranks):
+    """Pre-tokens by a linear matcher, each encoded as one piece."""
+    one = tiktoken.Encoding("one", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    pattern = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    return [i for m in pattern.finditer(text) for i in one.encode_ordinary(m[0])]
+
+
+def test_very_long_runs(spark):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    rnd = random.Random(4)
+    letters = "".join(rnd.choices("abcdefgh", k=1_000_000))
+    texts = [" " * 5_000_000, "x" + " \n" * 600_000 + "y", letters, "end " + "\t" * 60_000 + "it's " * 100, "\x1c" * 70_000 + " " * 70_000 + "\u2028"]
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in bpe.digests(frame(spark, list(enumerate(texts))), RANKS, public_tokenizers.PATTERN).collect()}
+    assert time.monotonic() - began < 60
+    for i, t in enumerate(texts):
+        ids = plain_ids(t, ranks)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for t in (letters, texts[3], texts[4]):  # what the library can do
+        assert plain_ids(t, ranks) == library.encode_ordinary(t) == bpe.encoded(t, RANKS, public_tokenizers.PATTERN).tolist()
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    frame(spark, documents()).write.parquet(str(tmp_path / "d"))
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.read.parquet(str(tmp_path / "d"))
+    counted = rows.mapInArrow(lambda batches: (seen.add(b.num_rows) or b for b in batches), rows.schema)
+    assert bpe.digests(counted, RANKS, public_tokenizers.PATTERN, chunk=100, overlap=20).count() == len(documents()) == seen.value
+
+
 def test_decoding_keeps_other_columns(spark):
     ids = bpe.encode(spark.createDataFrame([(1, "héllo wörld")], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
     row = bpe.decode(ids.selectExpr("doc_id", "ids", "'x' as tag", "1 as decoded"), RANKS).first()
