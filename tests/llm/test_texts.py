@@ -7,6 +7,7 @@ import random
 import re
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -107,6 +108,22 @@ def test_merging_takes_every_second_pair_of_a_run_and_lowest_ranks_first():
     assert token_counts.count_symbols([b"", b"a", b""], merges).tolist() == [0, 1, 0]
 
 
+def test_long_pre_tokens_are_counted_in_seconds(spark):
+    library = Tokenizer.from_file(MODEL)
+    rnd = random.Random(9)
+    words = [rnd.choice(["a", "ab", "é", "漢", "the", "ing"]) * rnd.randint(100, 600) for _ in range(40)] + ["".join(rnd.choices("etaoinsh", k=rnd.randint(200, 2000))) for _ in range(40)]
+    merges = token_counts.Merges(MODEL)
+    want = [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    assert token_counts.count_symbols([w.encode() for w in words], merges).tolist() == want
+    pieces = [w.encode() for w in words]
+    assert token_counts.sweep(merges.byte[np.frombuffer(b"".join(pieces), np.uint8)], np.array(list(map(len, pieces))), merges).tolist() == want
+    texts = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "x" * 1_000_000, " " * 5_000_000, "1" * 300_000 + "!" * 300_000, "漢字" * 150_000]
+    began = time.monotonic()
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(frame(spark, list(enumerate(texts))), MODEL).collect()}
+    assert time.monotonic() - began < 60
+    assert [got[i] for i in range(len(texts))] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_memory_of_counts_is_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "REMEMBERED", 10)
     counter = token_counts.Counter(MODEL)

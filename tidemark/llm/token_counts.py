@@ -6,10 +6,14 @@ sequences together; sequences without a known pair leave the array. What survive
 symbol only occurs in pairs of higher rank than the merge that made it, so merging all occurrences of one pair
 in a round gives what merging them one by one gives; in a run of one symbol, every second pair is taken from
 the left.
+
+A sequence of over `LONG` symbols would keep the rounds going for all of its ranks, each over all of its symbols. Such sequences go together
+through their ranks in ascending order instead, and a round touches only the places whose pair has the round's rank and their neighbours.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pre-tokens merged at once, and symbols at most; counts kept per worker before the memory starts anew.
 BATCH, BATCH_BYTES, REMEMBERED = 20_000, 1 << 20, 400_000
+#: Symbols from which on a sequence is swept rank by rank; it is counted anew wherever it occurs.
+LONG = 256
 
 
 class Merges:
@@ -51,11 +57,64 @@ class Merges:
         return np.where(self.keys[at] == key, self.rank[at], len(self.rank))
 
 
+def _second(run: np.ndarray) -> np.ndarray:
+    """Which of some hits count: of hits that follow each other (`run`: one follows the one before) every second one, from the left."""
+    at = np.arange(len(run))
+    return (at - np.maximum.accumulate(np.where(run, 0, at))) % 2 == 0
+
+
+def sweep(symbols: np.ndarray, lengths: np.ndarray, merges: Merges) -> np.ndarray:
+    """Number of tokens of each of the sequences that lie in `symbols` one after the other, all of them merged rank by rank."""
+    n, none = len(symbols), len(merges.rank)
+    symbols, starts = np.r_[symbols, 0], np.cumsum(lengths) - lengths
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # n stands for no symbol
+    after[starts + lengths - 1], before[starts] = n, n
+    rank = np.full(n + 1, none, np.int64)
+    rank[: n - 1] = merges.ranks(symbols[: n - 1], symbols[1:n])
+    rank[starts + lengths - 1] = none
+    gone = np.zeros(n + 1, bool)
+    waiting: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def wait(places: np.ndarray) -> None:
+        places = places[rank[places] < none]
+        places = places[np.argsort(rank[places], kind="stable")]
+        own = rank[places]
+        cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+        for some in np.split(places, cuts) if len(places) else ():
+            r = int(rank[some[0]])
+            if r not in waiting:
+                heapq.heappush(heap, r)
+                waiting[r] = []
+            waiting[r].append(some)
+
+    wait(np.arange(n))
+    while heap:
+        r = heapq.heappop(heap)
+        at = np.unique(np.concatenate(waiting.pop(r)))
+        at = at[rank[at] == r]
+        if not len(at):
+            continue
+        at = at[_second(np.r_[False, after[at[:-1]] == at[1:]])]
+        right = after[at]
+        symbols[at], rank[right], gone[right] = merges.made[r], none, True
+        after[at] = after[right]
+        before[after[at]] = at
+        touched = np.r_[at, before[at]]
+        touched = touched[touched < n]
+        next_ = after[touched]
+        rank[touched] = np.where(next_ < n, merges.ranks(symbols[touched], symbols[next_]), none)
+        wait(touched)
+    return lengths - np.add.reduceat(gone[:n].astype(np.int64), starts)
+
+
 def count_symbols(pieces: list[bytes], merges: Merges) -> np.ndarray:
     """Number of tokens of each of `pieces`; 0 for an empty one."""
     lengths = np.array([len(p) for p in pieces], np.int64)
     counts = lengths.copy()
-    who = np.flatnonzero(lengths > 1)  # sequences still in the array
+    if len(far := np.flatnonzero(lengths > LONG)):
+        counts[far] = sweep(merges.byte[np.frombuffer(b"".join(pieces[i] for i in far), np.uint8)], lengths[far], merges)
+    who = np.flatnonzero((lengths > 1) & (lengths <= LONG))  # sequences still in the array
     lengths = lengths[who]
     symbols = merges.byte[np.frombuffer(b"".join(pieces[i] for i in who), np.uint8)]
     none = len(merges.rank)
@@ -74,10 +133,7 @@ def count_symbols(pieces: list[bytes], merges: Merges) -> np.ndarray:
                 break
         hit = rank == np.repeat(best, lengths)
         at = np.flatnonzero(hit)
-        # of neighbouring hits (one symbol repeated) every second one counts, from the left
-        first = np.r_[True, at[1:] != at[:-1] + 1]
-        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        at = at[nth % 2 == 0]
+        at = at[_second(np.r_[False, at[1:] == at[:-1] + 1])]  # of neighbouring hits (one symbol repeated)
         symbols[at] = merges.made[rank[at]]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
@@ -125,6 +181,9 @@ class Counter:
             self.learn(list(pending))
             known = self.known
             out += [special + sum(map(known.__getitem__, pieces)) for special, pieces in split]
+            for p in pending:
+                if len(p) > LONG:
+                    del known[p]
             if len(known) > REMEMBERED:
                 known.clear()
         return out
