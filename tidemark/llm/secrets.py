@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Kinds in the order in which spans of one start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key_base64", "key_hex")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+#: The words of ASSIGN; a text without any of them holds no assignment.
+WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is the whole run either way
 #: Runs of base64 in the address alphabet with two dots or more between them.
@@ -231,7 +233,8 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of all spans of a text, sorted; code points, end exclusive. A null text has none."""
     text = text or ""
-    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    lower = text.lower()
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8] if any(w in lower for w in WORDS) else []
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
