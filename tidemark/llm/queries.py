@@ -63,7 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-#: op4: the schedule as a recursion over slots for each kind of cycle; op6: every query against every row; op8: parts of 256 turns, spans by running sums of lengths.
+#: op4: the schedule as a recursion over slots for each kind of cycle; op6: every query against every row; op8: parts of 256 turns by their place, spans by running sums of lengths.
 SQL = {
     "op4_mix": """
         WITH RECURSIVE p(target, parts) AS (VALUES ('src0', 6), ('src1', 3), ('src2', 3), ('src3', 2), ('src4', 2), ('', 14)),
@@ -95,16 +95,19 @@ SQL = {
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
-    "op8_perspectives": """
-        WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, CAST(floor(turn / 256) AS BIGINT) AS part FROM conversations),
+    "op8_perspectives": r"""
+        WITH rows_ AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+             said AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) - 1 AS nr FROM rows_),
              who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
-             p AS (SELECT w.conv_id, w.perspective, s.part, s.turn, s.speaker, s.text, s.speaker = w.perspective AS own,
-                          CASE WHEN s.speaker = w.perspective THEN '<|assistant|>' WHEN s.speaker = 'system' THEN '<|system|>' ELSE '<|user:' || s.speaker || '|>' END || chr(10) || s.text || '<|end|>' || chr(10) AS piece
+             p AS (SELECT w.conv_id, w.perspective, s.nr, s.nr // 256 AS part, s.speaker = w.perspective AS own,
+                          CASE WHEN s.speaker = w.perspective THEN '<|assistant|>' WHEN s.speaker = 'system' THEN '<|system|>'
+                               ELSE '<|user:' || replace(replace(replace(s.speaker, '<\', '<\\'), '<|', '<\|'), '|>', '|\>') || '|>' END
+                          || chr(10) || replace(replace(s.text, '<\', '<\\'), '<|', '<\|') || '<|end|>' || chr(10) AS piece
                    FROM who w JOIN said s ON w.conv_id IS NOT DISTINCT FROM s.conv_id),
-             a AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS upto FROM p)
-        SELECT conv_id, perspective, part, CAST(count(*) AS INTEGER) AS n_turns, CAST(count(*) FILTER (own) AS INTEGER) AS n_own, CAST(sum(length(piece)) AS BIGINT) AS n_chars,
-               string_agg(piece, '' ORDER BY turn, speaker, text) AS text,
-               coalesce(string_agg(CAST(upto - length(piece) + 14 AS BIGINT) || ':' || CAST(upto AS BIGINT), ',' ORDER BY turn, speaker, text) FILTER (own), '') AS mask
+             a AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective, part ORDER BY nr ROWS UNBOUNDED PRECEDING) AS upto FROM p)
+        SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n_turns, CAST(count(*) FILTER (own) AS INTEGER) AS n_own, CAST(sum(length(piece)) AS BIGINT) AS n_chars,
+               string_agg(piece, '' ORDER BY nr) AS text,
+               coalesce(string_agg(CAST(upto - length(piece) + 14 AS BIGINT) || ':' || CAST(upto AS BIGINT), ',' ORDER BY nr) FILTER (own), '') AS mask
         FROM a GROUP BY conv_id, perspective, part
     """,
 }
