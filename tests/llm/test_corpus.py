@@ -418,3 +418,17 @@ def test_written_shards_keep_rows_and_prune(spark, tmp_path):
     assert back.count() == 700
     spread = [r[1] for r in back.groupBy("shard").agg({"source": "approx_count_distinct"}).collect()]
     assert len(spread) == 16 and sum(spread) / 16 < 4  # few of the seven sources in each shard
+
+
+def test_written_shards_keep_every_row_and_column(spark, tmp_path):
+    rows = [(i % 40 if i % 3 else None, f"text {i % 50}", None if i % 5 else "src", i, "slot", "x", "y") for i in range(300)] * 2
+    frame = spark.createDataFrame(rows, "doc_id int, text string, source string, shard int, slot string, _id string, _row string")
+    for k, kind in enumerate(("int", "string")):
+        some = frame.withColumn("doc_id", frame["doc_id"].cast(kind))
+        assert sharding.write_shards(some, str(tmp_path / f"out{k}")) == "shard_"
+        back = spark.read.parquet(str(tmp_path / f"out{k}"))
+        assert back.columns == [*frame.columns, "shard_"]
+        assert sorted(map(str, back.drop("shard_").collect())) == sorted(map(str, some.collect()))
+        sizes = [r["count"] for r in back.groupBy("shard_").count().collect()]
+        assert len(sizes) == 16 and max(sizes) - min(sizes) <= 1
+    sharding.write_shards(frame.limit(0), str(tmp_path / "none"))

@@ -52,6 +52,19 @@ def only(df: DataFrame, stay: DataFrame, repeated: bool) -> DataFrame:
     return own.join(stay.select(*ROW), ROW).select("_all.*")
 
 
+def met(df: DataFrame, found: DataFrame, repeated: bool) -> DataFrame:
+    """`found` (_row, _more, ...), which has a row for each row of `df`, with that row's columns as the struct `_all`.
+
+    With `repeated` rows that agree in all columns are folded in their tasks before they meet theirs in `found`, so any number of them moves as one row for each task.
+    """
+    whole = df.select(*row_hashes(df), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_all"))
+    if not repeated:
+        return whole.join(found, ROW)
+    again = found.groupBy(*ROW).count().filter("count > 1").select(*ROW)
+    folded = whole.join(again, ROW, "left_semi").groupBy(*ROW).agg(F.first("_all").alias("_all"))
+    return whole.join(found.join(again, ROW, "left_anti"), ROW).unionByName(folded.join(found, ROW))
+
+
 def repeats(rows: DataFrame) -> bool:
     """Whether any of `rows` (_row, _more, ...) agree in their hashes."""
     return rows.groupBy(*ROW).count().filter("count > 1").limit(1).count() > 0

@@ -19,7 +19,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, ranked, row_hashes, width
+from .common import ROW, met, ranked, row_hashes, width
 
 BLOCK = 16
 #: Parts of named sources; all other sources together have the parts REST.
@@ -115,9 +115,9 @@ def mix(df: DataFrame, targets: dict[str, int] | None = None, rest: int = REST,
     if not each:
         own = own.withColumn("_at", F.col("rank") - F.col("base")).withColumn("block", F.expr(f"_at div {block}"))
     own = own.withColumn("_cycle", F.expr("block div parts")).withColumn("part", F.expr("cast(block % parts as int)"))
-    met = own.join(F.broadcast(slots), ["target", "part"]).filter("_cycle >= first and _cycle < last")
+    taken = own.join(F.broadcast(slots), ["target", "part"]).filter("_cycle >= first and _cycle < last")
     begin = F.col("start") + (F.col("_cycle") - F.col("first")) * F.col("slots")
-    return met.select(
+    return taken.select(
         *keys,
         *carry,
         F.when(F.col("target") != "", F.col("target")).alias("target"),
@@ -147,19 +147,11 @@ def in_mixed_order(df: DataFrame, **options) -> DataFrame:
     are folded to one before they meet their places, so any number of them moves as one text for each task. Where there are none, which one
     look at the narrow places tells, the texts are moved only for the match and for the order. An empty table is returned as it is; other columns may have any names.
     """
-    names = df.columns
     found = places(df, **options)
-    whole = df.select(*keyed(df)[1:], F.struct(*(F.col(f"`{c}`") for c in names)).alias("_all"))
     times = found.groupBy(*ROW).agg(F.count(F.lit(1)).alias("_times"), F.max("slot").alias("_last"))
     last, most = times.agg(F.max("_last"), F.max("_times")).first()
     if last is None:
         return df  # there are no rows
-    if most == 1:
-        met = whole.join(found, ROW)
-    else:
-        again = times.filter("_times > 1").select(*ROW)
-        folded = whole.join(again, ROW, "left_semi").groupBy(*ROW).agg(F.first("_all").alias("_all"))
-        met = whole.join(found.join(again, ROW, "left_anti"), ROW).unionByName(folded.join(found, ROW))
     # slots are gapless, so equal runs of them are known without the look at the rows that a range partitioning takes
     n = width(df.sparkSession)
-    return met.repartitionById(n, F.expr(f"cast(slot * {n} div {last + 1} as int)")).sortWithinPartitions("slot", "place").select("_all.*")
+    return met(df, found, most > 1).repartitionById(n, F.expr(f"cast(slot * {n} div {last + 1} as int)")).sortWithinPartitions("slot", "place").select("_all.*")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import ROW, met, ranked, repeats, row_hashes
 
 BITS, SHARDS = 5, 16
 
@@ -72,27 +72,38 @@ def documents_cell(df: DataFrame) -> list[Column]:
     return [F.coalesce(named("source"), F.lit(0)), F.coalesce(named("lang"), F.lit(0)), F.least(digits, F.lit(side - 1))]
 
 
-def shard(df: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve for every row of documents (doc_id, text[, source, lang]).
+def shard(df: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve and the columns `carry` for every row of documents (doc_id, text[, source, lang]).
 
     Law `rows`: shard s holds the ranks from ceil(s * n / shards) on. A null text has no bytes, so size 1 and checksum 0; null and
-    repeated ids are placed like others (rows that agree in all that is ranked may swap places). grown_shard is null.
+    repeated ids are placed like others (rows that agree in all that is ranked may swap places); rows without an id are dealt by their number, so those of one text
+    do not fill one task. grown_shard is null. An empty table has an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     told = df.withColumn("size", F.octet_length(text).cast("long") + 1)
     cell = documents_cell(told)
-    told = told.select("doc_id", "size", F.crc32(text.cast("binary")).alias("text_crc32"), hilbert(*cell).alias("curve"))
-    out, sizes = ranked(told, F.col("curve"), F.col("text_crc32"), F.col("size"), F.col("doc_id"), once=True)  # texts are read once
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_salt")
+    told = told.select("doc_id", *carry, salt, "size", F.crc32(text.cast("binary")).alias("text_crc32"), hilbert(*cell).alias("curve"))
+    out, sizes = ranked(told, F.col("curve"), F.col("text_crc32"), F.col("size"), F.col("doc_id"), F.col("_salt"), once=True)  # texts are read once
     out = out.crossJoin(F.broadcast(sizes.agg(F.sum("_n").alias("_all"))))  # one row
     out = out.withColumn("shard", F.expr(f"(rank * {shards}) div _all").cast("int"))
     first = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve"
+        "doc_id", *carry, "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve"
     )
 
 
-def write_shards(df: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes documents in curve order, one folder `shard=s` for each shard, with all columns of `df` (doc_id unique and not null)."""
-    places = shard(df, shards).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    rows = df.drop("shard", "slot").join(places, F.col("doc_id") == F.col("_id")).drop("_id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(df: DataFrame, path: str, shards: int = SHARDS) -> str:
+    """Writes documents in curve order, one folder for each shard, with all rows and columns of `df`; the name of the column that the folders stand for.
+
+    That is `shard`, followed by as many `_` as it takes to clash with no column of `df`. Rows are matched with their shards by hashes of the whole row, so ids may have
+    any type, be null or repeat; rows that agree in all columns are each written.
+    """
+    taken, name = {c.lower() for c in df.columns}, "shard"
+    while name in taken:
+        name += "_"
+    whole = df.select(*(c for c in ("doc_id", "text", "source", "lang") if c in df.columns), *row_hashes(df))
+    places = shard(whole, shards, tuple(ROW)).select(*ROW, F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    rows = met(df, places, repeats(places)).repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
+    rows.select("_all.*", F.col("_shard").alias(name)).write.partitionBy(name).mode("overwrite").parquet(path)
+    return name
