@@ -86,7 +86,7 @@ def plain_stay(rows):
     return least
 
 
-@pytest.mark.parametrize("few", [10_000, 3])
+@pytest.mark.parametrize("few", [common.FEW, 3])
 def test_one_row_of_each_component_stays(spark, monkeypatch, few):
     monkeypatch.setattr(common, "FEW", few)
     said = texts(40)
@@ -316,7 +316,10 @@ def test_pruning_leaves_the_best_scores():
     c = c[np.argsort(-(c**2).sum(1))]
     q, ids = c[::50], np.arange(900)
     turned = np.linalg.svd(c.T @ c)[0]
-    qs, cs, ss = topk.top(q, np.arange(0, 900, 50), np.full(len(q), -np.inf), c, ids, ids, turned, k=7, step=64, leading=4)
+    best = topk.Best(q, np.arange(0, 900, 50), np.full(len(q), -np.inf), turned, k=7, leading=4)
+    for i in range(0, 900, 300):  # bounds grow from block to block
+        best.meet(c[i : i + 300], ids[i : i + 300], ids[i : i + 300], step=64)
+    qs, cs, ss = best.result()
     for i in range(len(q)):
         scores = sorted(((-int(q[i] @ c[j]), j) for j in range(900) if j != i * 50))[:7]
         assert [(-int(s), int(j)) for s, j in sorted(zip(ss[qs == i], cs[qs == i], strict=True), key=lambda x: (-x[0], x[1]))] == scores
@@ -349,7 +352,7 @@ def plain_chat(rows, part):
     return out
 
 
-@pytest.mark.parametrize("few", [10_000, 5])
+@pytest.mark.parametrize("few", [common.FEW, 5])
 def test_every_participant_gets_the_dialogue(spark, monkeypatch, few):
     monkeypatch.setattr(common, "FEW", few)
     rnd = random.Random(8)

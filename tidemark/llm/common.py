@@ -32,7 +32,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 #: What tells rows apart when they are matched: two hashes of all columns, 96 bits together.
 ROW = ["_row", "_more"]
 #: Rows of one key that a task takes in any case.
-FEW = 10_000
+FEW = 100_000
 
 
 def row_hashes(df: DataFrame) -> list[Column]:
@@ -77,6 +77,8 @@ def joined(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFra
     whatever the data. All others are joined by a shuffle in which no key can fill a task.
     """
     most = max(FEW, total // (4 * width(rows.sparkSession)))
+    if total <= most:  # no key can have more
+        return rows.join(per_key.drop("n"), key)
     hot = F.broadcast(per_key.filter(F.col("n") > most).drop("n"))
     rest = rows.join(hot.select(key), key, "left_anti").join(per_key.filter(F.col("n") <= most).drop("n"), key)
     return rows.join(hot, key).unionByName(rest)

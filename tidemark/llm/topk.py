@@ -1,11 +1,16 @@
 """Exact top-k inner products over norm-sorted blocks.
 
-All vectors are ranked by descending length and packed into blocks; queries likewise. Queries first meet the block of the
-longest vectors, which gives each a lower bound of its k-th score. A query block then meets a candidate block only if the product
-of lengths can reach that bound for one of its queries. Inside a meeting, vectors are rotated to the directions of an SVD (of the
-Gram matrix, summed over all vectors), so the first coordinates hold most of the length; the partial sum over these plus the product
-of the lengths of the rest (Cauchy-Schwarz) bounds each score, and only pairs that can reach the k-th score so far are scored, in
-whole numbers. Nothing is dropped by an estimate: bounds are widened by more than the rounding of floating point.
+All vectors are ranked by descending length and packed into blocks, queries into larger stripes, both as integers of as few bytes as hold them. Each
+stripe first meets the block of the longest vectors, which gives every query a lower bound of its k-th score. A block then goes to
+a stripe only if the product of lengths can reach that bound for one of its queries. It goes there once: a task holds one stripe and is
+given blocks in the order of their lengths, one at a time, so bounds grow from block to block. Blocks of a stripe are dealt to as many lanes
+as it takes to keep all tasks busy.
+
+Inside a meeting, vectors are rotated to the directions of an SVD (of the Gram matrix, summed over all vectors), so the first
+coordinates hold most of the length; the partial sum over these plus the product of the lengths of the rest (Cauchy-Schwarz) bounds each
+score. Only pairs whose bound reaches the k-th score so far can enter a result; they are scored in whole numbers, one by one where they are few, as a
+product of the rows and columns that hold them where they are many. Nothing is dropped by an estimate: bounds are widened by more than
+the rounding of floating point.
 """
 
 from __future__ import annotations
@@ -18,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ranked
+from .common import checkpointed, ranked, width
 
 K, EVERY, UNITS = 20, 20, 64
-#: Vectors in a block of candidates and of queries, candidates looked at at once, and rotated coordinates summed before pruning.
-BLOCK, QUERY_BLOCK, STEP, LEADING = 2_048, 1_024, 512, 16
+#: Vectors of up to 64 components in a block of candidates and in a stripe of queries, fewer of longer ones.
+BLOCK, QUERY_BLOCK = 2_048, 32_768
+#: Pairs looked at at once, rotated coordinates summed before pruning, and the share of pairs up to which they are scored one by one.
+PAIRS, LEADING, SPARSE = 1 << 21, 16, 0.02
 
 
 def whole(vector: Column, units: int = UNITS) -> Column:
@@ -63,93 +70,145 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """The same integers in as few bytes as hold them."""
+    least, most = v.min(initial=0), v.max(initial=0)
+    return v.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
+
+
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rank")
-    v = np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1)
-    return pd.DataFrame(
-        {"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "longest": [float(np.sqrt(pdf["square"].max()))], "ranks": [pdf["rank"].to_numpy(np.int64).tobytes()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [v.tobytes()]}
-    )
+    v = _narrow(np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1))
+    longs = lambda c: pdf[c].to_numpy(np.int64).tobytes()
+    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "longest": [float(np.sqrt(pdf["square"].max()))], "ranks": [longs("rank")], "ids": [longs("vec_id")], "bytes": [v.itemsize], "data": [v.tobytes()]})
 
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
-    """One row for each block of `size` ranks: dim, block, longest, and ranks, ids and data as bytes of longs."""
-    return rows.withColumn("block", F.expr(f"place div {size}")).groupBy("dim", "block").applyInPandas(_pack, "dim int, block bigint, longest double, ranks binary, ids binary, data binary")
+    """One row for each block of `size` places, or fewer of vectors of over 64 components: dim, block, longest, ranks and ids as bytes of longs, data as bytes of integers of `bytes` bytes."""
+    block = F.expr(f"place div greatest(1, {size * 64} div greatest(64, dim))")
+    schema = "dim int, block bigint, longest double, ranks binary, ids binary, bytes int, data binary"
+    return rows.withColumn("block", block).groupBy("dim", "block").applyInPandas(_pack, schema)
+
+
+class Best:
+    """The k best vectors of each query among those met so far."""
+
+    def __init__(self, queries: np.ndarray, own: np.ndarray, bound: np.ndarray, rotation: np.ndarray, k: int = K, leading: int = LEADING):
+        self.queries, self.k, self.leading, self.rotation = queries, k, leading, rotation
+        self.big, self.best = int(np.abs(queries).max(initial=0)), bound.astype(np.float64).copy()
+        self.by_rank, self.own = np.argsort(own, kind="stable"), np.sort(own)
+        turned = queries @ rotation
+        self.head, self.rest = turned[:, :leading], np.linalg.norm(turned[:, leading:], axis=1)
+        self.slack = 1e-9 * (1 + np.linalg.norm(turned, axis=1))[:, None]
+        self.found, self.waiting = [(np.empty(0, np.int64),) * 3], 0
+        self.kinds: dict[type, np.ndarray] = {}
+
+    def _as(self, kind: type) -> np.ndarray:
+        if kind not in self.kinds:
+            self.kinds[kind] = self.queries.astype(kind)
+        return self.kinds[kind]
+
+    def meet(self, vectors: np.ndarray, ranks: np.ndarray, ids: np.ndarray, step: int | None = None) -> None:
+        """`ranks` tell the queries' own vectors, which are no candidates of theirs."""
+        sums = self.big * int(np.abs(vectors).max(initial=0)) * self.queries.shape[1]
+        kind = np.float32 if sums < 2**24 else np.float64 if sums < 2**53 else np.int64  # floating point holds the sums exactly below that
+        q, c = self._as(kind), vectors.astype(kind)
+        turned = vectors @ self.rotation
+        rest, lengths = np.linalg.norm(turned[:, self.leading :], axis=1), 1 + np.linalg.norm(turned, axis=1)
+        step = step or max(16, PAIRS // max(1, len(q)))
+        for i in range(0, len(c), step):
+            part = slice(i, i + step)
+            can = self.head @ turned[part, : self.leading].T + np.outer(self.rest, rest[part]) + self.slack * lengths[part] >= self.best[:, None]
+            at = np.minimum(np.searchsorted(self.own, ranks[part]), len(self.own) - 1)
+            same = np.flatnonzero(self.own[at] == ranks[part])
+            can[self.by_rank[at[same]], same] = False
+            n = np.count_nonzero(can)
+            if n <= SPARSE * can.size:
+                a, b = np.nonzero(can)
+                score = np.concatenate([np.einsum("ij,ij->i", q[a[j : j + 65_536]], c[part][b[j : j + 65_536]]) for j in range(0, len(a), 65_536)] or [np.empty(0)])
+                keep = score >= self.best[a]
+                a, b, score = a[keep], b[keep], score[keep]
+            else:
+                rows, columns = np.flatnonzero(can.any(axis=1)), np.flatnonzero(can.any(axis=0))
+                scores = q[rows] @ c[part][columns].T
+                a, b = np.nonzero((scores >= self.best[rows, None]) & can[np.ix_(rows, columns)])
+                score, a, b = scores[a, b], rows[a], columns[b]
+            self.found.append((a, ids[part][b], score.astype(np.int64)))
+            self.waiting += len(a)
+            if self.waiting > self.k * len(q):
+                self.sift()
+
+    def sift(self) -> None:
+        """Leaves the k best of each query, ties to the smaller id, and raises the bounds to the k-th scores."""
+        q, v, s = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.queries)))[q]
+        last, stay = nth == self.k - 1, nth < self.k
+        self.best[q[last]] = np.maximum(self.best[q[last]], s[last])
+        self.found, self.waiting = [(q[stay], v[stay], s[stay])], 0
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k best; those below the bounds given may be missing."""
+        self.sift()
+        return self.found[0]
+
+
+def _longs(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.int64)
+
+
+def _vectors(row: dict) -> np.ndarray:
+    n = len(row["ids"]) // 8
+    return np.frombuffer(row["data"], f"i{row['bytes']}").astype(np.int64).reshape(n, -1 if n and row["dim"] else row["dim"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _seed(rotation: dict[int, np.ndarray], k: int):
+    """The k-th scores that a stripe's queries have among the longest vectors, and the least length that a vector needs to matter for any."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            stripe, block = ({n: row[p + n] for n in ("ranks", "ids", "bytes", "data")} | {"dim": row["dim"]} for p in ("", "b_"))
+            queries = _vectors(stripe)
+            found = Best(queries, _longs(stripe["ranks"]), np.full(len(queries), -np.inf), rotation.get(row["dim"], np.zeros((0, 0))), k)
+            found.meet(_vectors(block), _longs(block["ranks"]), _longs(block["ids"]))
+            found.sift()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where(found.best <= 0, 0.0, found.best / np.linalg.norm(queries, axis=1))  # a score of 0 is reached by a vector of any length
+            least = float(need.min(initial=np.inf)) * (1 - 1e-9)
+            yield pa.RecordBatch.from_pylist([{"dim": row["dim"], "stripe": row["stripe"], "bounds": found.best.tobytes(), "least": least}], pa.schema([("dim", pa.int32()), ("stripe", pa.int64()), ("bounds", pa.binary()), ("least", pa.float64())]))
 
-def top(queries: np.ndarray, own: np.ndarray, bound: np.ndarray, vectors: np.ndarray, ranks: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int = K, step: int = STEP, leading: int = LEADING):
-    """(query, vector, score) with each query's k best among `vectors`, as places; those below `bound` may be left out.
-
-    `own` are the queries' ranks, which are no candidates of theirs; ties go to the smaller id.
-    """
-    big = max(np.abs(queries).max(initial=0), np.abs(vectors).max(initial=0))
-    exact = np.int64 if float(big) ** 2 * queries.shape[1] >= 2**53 else np.float64  # doubles hold the sums exactly below that
-    q, c = queries.astype(exact), vectors.astype(exact)
-    qr, cr = queries @ rotation, vectors @ rotation
-    q_rest, c_rest = np.linalg.norm(qr[:, leading:], axis=1), np.linalg.norm(cr[:, leading:], axis=1)
-    slack = 1e-9 * (1 + np.linalg.norm(qr, axis=1))[:, None]
-    lengths = 1 + np.linalg.norm(cr, axis=1)
-    best = bound.astype(np.float64).copy()
-    found_q, found_c, found_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in range(0, len(c), step):
-        part = slice(i, i + step)
-        limit = qr[:, :leading] @ cr[part, :leading].T + np.outer(q_rest, c_rest[part]) + slack * lengths[part]
-        can = limit >= best[:, None]
-        can &= own[:, None] != ranks[None, part]
-        rows = np.flatnonzero(can.any(axis=1))
-        if not len(rows):
-            continue
-        scores = q[rows] @ c[part].T
-        a, b = np.nonzero(can[rows])
-        s = scores[a, b].astype(np.int64)
-        keep = s >= best[rows[a]]
-        found_q.append(rows[a[keep]])
-        found_c.append(b[keep] + i)
-        found_s.append(s[keep])
-        qs, cs, ss = np.concatenate(found_q), np.concatenate(found_c), np.concatenate(found_s)
-        order = np.lexsort((ids[cs], -ss, qs))
-        qs, cs, ss = qs[order], cs[order], ss[order]
-        starts = np.searchsorted(qs, np.arange(len(q)))
-        nth = np.arange(len(qs)) - starts[qs]
-        stay = nth < k
-        last = nth == k - 1
-        best[qs[last]] = np.maximum(best[qs[last]], ss[last])
-        found_q, found_c, found_s = [qs[stay]], [cs[stay]], [ss[stay]]
-    return found_q[0] if len(found_q) == 1 else np.concatenate(found_q), np.concatenate(found_c), np.concatenate(found_s)
+    return run
 
 
 _MET = "query bigint, query_id bigint, vec_id bigint, score bigint"
 
 
 def _meet(rotation: dict[int, np.ndarray], k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                longs = {n: np.frombuffer(row[n], np.int64) for n in ("q_ranks", "q_ids", "q_data", "ranks", "ids", "data")}
-                dim, n, m = row["dim"], len(longs["q_ids"]), len(longs["ids"])
-                bound = np.full(n, -np.inf) if row["bounds"] is None else np.frombuffer(row["bounds"], np.float64)
-                turned = rotation[dim] if dim else np.zeros((0, 0))
-                qs, cs, ss = top(longs["q_data"].reshape(n, dim), longs["q_ranks"], bound, longs["data"].reshape(m, dim), longs["ranks"], longs["ids"], turned, k)
-                yield pa.RecordBatch.from_arrays([pa.array(longs["q_ranks"][qs]), pa.array(longs["q_ids"][qs]), pa.array(longs["ids"][cs]), pa.array(ss)], names=["query", "query_id", "vec_id", "score"])
-
-    return run
+    """Rows sorted by (dim, stripe, lane, nr): of each lane the stripe, then blocks. One stripe and one block are held at a time."""
 
+    def told(now: Best, row: dict) -> pa.RecordBatch:
+        q, v, s = now.result()
+        return pa.RecordBatch.from_arrays([pa.array(_longs(row["ranks"])[q]), pa.array(_longs(row["ids"])[q]), pa.array(v), pa.array(s)], names=["query", "query_id", "vec_id", "score"])
 
-def _bounds(k: int):
-    """Adds to a query block the k-th scores that its queries have, and the least length a vector needs to matter for any."""
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left.copy()
-        bounds, least = [], []
-        kth = {r: s.nlargest(k).iloc[-1] for r, s in right.groupby("query")["score"] if len(s) >= k}
-        for _, row in left.iterrows():
-            ranks = np.frombuffer(row["q_ranks"], np.int64)
-            bound = np.array([kth.get(r, -np.inf) for r in ranks.tolist()], np.float64)
-            lengths = np.linalg.norm(np.frombuffer(row["q_data"], np.int64).reshape(len(ranks), -1).astype(np.float64), axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                need = np.where(bound <= 0, 0.0, bound / lengths)  # a score of 0 is reached by a vector of any length
-            bounds.append(bound.tobytes())
-            least.append(float(need.min(initial=np.inf)) * (1 - 1e-9))
-        return out.assign(bounds=bounds, least=least)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stripe = None, {}
+        for row in _rows(batches):
+            if row["nr"] < 0:
+                if now:
+                    yield told(now, stripe)
+                stripe = row
+                now = Best(_vectors(row), _longs(row["ranks"]), np.frombuffer(row["bounds"], np.float64), rotation.get(row["dim"], np.zeros((0, 0))), k)
+            else:
+                now.meet(_vectors(row), _longs(row["ranks"]), _longs(row["ids"]))
+        if now:
+            yield told(now, stripe)
 
     return run
 
@@ -161,6 +220,7 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id",
     and sorts before others on ties. Every row but the query's own is a candidate, so repeated rows meet each other. An empty table
     has an empty result. Other columns are not read.
     """
+    n = width(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e")).filter(usable(F.col("e")))
     rows = rows.select("vec_id", F.size("e").alias("dim"), whole(F.col("e")).alias("v"))
     rows = rows.withColumn("square", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).withColumn("vec_id", F.coalesce("vec_id", F.lit(-(1 << 63))))
@@ -168,21 +228,21 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id",
     first = told.groupBy("dim").agg(F.min("rank").alias("base"))  # a row for each number of dimensions
     placed = told.join(F.broadcast(first), "dim").withColumn("place", F.col("rank") - F.col("base")).drop("base")
     turned = rotations(told)
-    candidates = checkpointed(packed(placed, BLOCK))
-    asking = packed(placed.filter(F.col("vec_id") % every == 0), QUERY_BLOCK * every)
-    asking = checkpointed(asking.select("dim", F.col("block").alias("q_block"), F.col("ranks").alias("q_ranks"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
-    seed = asking.join(candidates.filter("block = 0"), "dim").withColumn("bounds", F.lit(None).cast("binary"))
-    seeds = checkpointed(seed.repartition("dim", "q_block").select("dim", "q_block", "bounds", "q_ranks", "q_ids", "q_data", "ranks", "ids", "data").mapInArrow(_meet(turned, k), _MET))
-    ranks = asking.select("dim", "q_block", "q_ranks", "q_data")
-    owner = placed.select(F.col("rank").alias("query"), "dim", F.expr(f"place div {QUERY_BLOCK * every}").alias("q_block"))
-    known = seeds.join(owner, "query")
-    bounded = ranks.groupBy("dim", "q_block").cogroup(known.select("dim", "q_block", "query", "score").groupBy("dim", "q_block")).applyInPandas(
-        _bounds(k), "dim int, q_block bigint, q_ranks binary, q_data binary, bounds binary, least double"
-    )
-    bounded = bounded.select("dim", "q_block", "bounds", "least")
-    pairs = bounded.join(candidates.filter("block > 0").select("dim", "block", "longest"), "dim").filter("longest >= least").select("dim", "q_block", "block", "bounds")
-    pairs = pairs.join(asking, ["dim", "q_block"]).join(candidates, ["dim", "block"]).repartition("dim", "q_block", "block")
-    rest = pairs.select("dim", "q_block", "bounds", "q_ranks", "q_ids", "q_data", "ranks", "ids", "data").mapInArrow(_meet(turned, k), _MET)
+    blocks = checkpointed(packed(placed, BLOCK))
+    stripes = checkpointed(packed(placed.filter(F.col("vec_id") % every == 0), QUERY_BLOCK * every).drop("longest").withColumnRenamed("block", "stripe"))
+    longest = blocks.filter("block = 0").select("dim", *(F.col(c).alias(f"b_{c}") for c in ("ranks", "ids", "bytes", "data")))
+    seeds = checkpointed(stripes.join(longest, "dim").repartition(n, "dim", "stripe").mapInArrow(_seed(turned, k), "dim int, stripe bigint, bounds binary, least double"))
+
+    # which blocks matter for which stripe: blocks are split by a salt, as there may be one number of dimensions only
+    salted = seeds.select("dim", "stripe", "least", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt"))
+    narrow = blocks.select("dim", "block", "longest", F.pmod("block", F.lit(n)).cast("int").alias("salt"))
+    n_stripes, n_blocks = max(1, stripes.count()), max(1, blocks.count())
+    lanes = max(1, min(n_blocks, 3 * n // n_stripes))
+    pairs = narrow.join(salted, ["dim", "salt"]).filter("longest >= least").select("dim", "stripe", "block")
+    columns = ["dim", "stripe", "lane", "nr", "bounds", "ranks", "ids", "bytes", "data"]
+    sent = pairs.join(blocks, ["dim", "block"]).select("dim", "stripe", (F.col("block") % lanes).cast("int").alias("lane"), F.col("block").alias("nr"), F.lit(None).cast("binary").alias("bounds"), *columns[5:])
+    asked = stripes.join(seeds.drop("least"), ["dim", "stripe"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(-1).cast("long").alias("nr"))
+    dealt = asked.select(*columns).unionByName(sent).repartition(max(n, lanes * n_stripes), "dim", "stripe", "lane").sortWithinPartitions("dim", "stripe", "lane", "nr")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-    out = seeds.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    out = dealt.mapInArrow(_meet(turned, k), _MET).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return out.select("query_id", "rank", F.nullif("vec_id", F.lit(-(1 << 63))).alias("vec_id"), "score")
