@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS
+from .common import SPACE_CLASS, checkpointed
 
 #: Buckets of the hashed n-grams; units of the rounded log ratios; the target holds at most TRUSTED labelled documents.
 BUCKETS, SCALE, TRUSTED = 1 << 14, 1 << 16, 20_000
@@ -26,15 +26,17 @@ TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 def words(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(trimmed, SPACE_CLASS + "+", " "), " "))  # a split at one plain sign needs no pattern
 
 
-def occurrences(text: Column, signs: str) -> Column:
-    """How often any of the ASCII `signs` occurs."""
-    total = F.lit(0)
-    for sign in signs:
-        total = total + F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
-    return total.cast("long")
+def _behind(array: Column, n: int) -> Column:
+    """The array without its first `n` values."""
+    return F.slice(array, n + 1, F.greatest(F.size(array) - n, F.lit(0)))
+
+
+def joined_hashes(a: Column, b: Column) -> Column:
+    """Hashes of values side by side, as many as `b` has."""
+    return F.zip_with(F.slice(a, 1, F.size(b)), b, lambda x, y: F.xxhash64(x, y))
 
 
 def repeated_words(hashes: Column, size: int = WINDOW) -> Column:
@@ -54,7 +56,7 @@ def repeated_words(hashes: Column, size: int = WINDOW) -> Column:
         )
 
     one = F.transform(F.array(placed), again)  # an array of one value binds it, so it is not computed again
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(F.get(F.transform(one, covered), F.lit(0)))
+    return F.get(F.transform(one, covered), F.lit(0))
 
 
 def base_counts(df: DataFrame, text: Column) -> DataFrame:
@@ -62,19 +64,17 @@ def base_counts(df: DataFrame, text: Column) -> DataFrame:
     told = df.withColumn("_words", words(text)).withColumn(
         "_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     )
-    size = F.size("_words")
-    w = F.col("_words")
-    windows = F.when(size < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(size - WINDOW, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))
-    )
-    told = told.withColumn("_windows", windows)
+    size, w, pairs, fours = F.size("_words"), F.col("_words"), F.col("_pairs"), F.col("_fours")
+    told = told.withColumn("_pairs", joined_hashes(w, _behind(w, 1))).withColumn("_fours", joined_hashes(pairs, _behind(pairs, 2)))
+    # a window that occurs twice begins with four words that do, which few texts have
+    windows = joined_hashes(fours, _behind(w, WINDOW - 1))
     told = told.select(
         *df.columns,
         size.cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        occurrences(text, SYMBOLS).alias("n_symbols"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_windows")).alias("n_repeat_words"),
+        F.when(F.size(F.array_distinct(fours)) == F.size(fours), F.lit(0).cast("long")).otherwise(repeated_words(windows)).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return told.withColumn("base_failed", failed)
@@ -83,7 +83,7 @@ def base_counts(df: DataFrame, text: Column) -> DataFrame:
 def buckets(text: Column) -> Column:
     """Buckets of all single tokens and pairs of tokens of a text."""
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("short")
     pairs = lambda t: F.concat(F.transform(t, lambda x: bucket(x)), F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: bucket(F.get(t, i), x)))
     return F.get(F.transform(F.array(tokens), pairs), F.lit(0))
 
@@ -95,14 +95,13 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 
 
 def log_ratios(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row, `ratios`: the rounded log(target / raw) of every bucket, by bucket.
+    """One row, `ratios`: the rounded log(target / raw) of every bucket, by bucket, for documents as their buckets (_doc, _grams).
 
     Counts of the raw corpus cover every row of `df`. They are summed in each task before the shuffle, so at most BUCKETS rows
     leave a task. Without any trusted document the ratios are 0.
     """
-    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(trusted_ids(labels).withColumn("_good", F.lit(1))), "doc_id", "left")
-    grams = rows.select("_good", F.explode(buckets(F.col("text"))).alias("bucket"))
+    rows = df.join(F.broadcast(trusted_ids(labels).select(F.col("doc_id").alias("_doc"), F.lit(1).alias("_good"))), "_doc", "left")
+    grams = rows.select("_good", F.explode("_grams").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_good").alias("good"))
     every = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     counts = every.join(F.broadcast(counts), "bucket", "left").na.fill(0)
@@ -112,17 +111,18 @@ def log_ratios(df: DataFrame, labels: DataFrame) -> DataFrame:
     return all_.select(F.transform("c", lambda x: F.when(F.col("n_good") == 0, 0).otherwise(F.round(ratio(x) * SCALE)).cast("int")).alias("ratios"))
 
 
-def scored(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(row, verdict) for every row of `df` (doc_id, text, ...): the row as it is, and its base counts, score and kept, as structs.
+def scored(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
+    """(row, verdict) for every row of `df` (doc_id, text, ...): all of the row or its `columns`, and its base counts, score and kept, as structs.
 
     A null text counts as empty: it fails the base rules. score is null for a text without n-grams, which no verdict of the method
-    rejects. Repeated rows and null ids are judged like others; other columns may have any names.
+    rejects. Repeated rows and null ids are judged like others; other columns may have any names. An empty table has an empty result.
+
+    Texts are read and split once: rows, base counts and buckets, two bytes each, are kept in the shared folder for the corpus counts and for the scores.
     """
-    ratios = log_ratios(df, labels)
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    own = df.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
-    both = base_counts(own, F.col("_text")).crossJoin(F.broadcast(ratios))  # a single row of BUCKETS numbers
-    both = both.withColumn("_grams", buckets(F.col("_text")))
+    row = F.struct(*(F.col(f"`{c}`") for c in columns or df.columns))
+    own = df.select(row.alias("row"), F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
+    told = checkpointed(base_counts(own, F.col("_text")).withColumn("_grams", buckets(F.col("_text"))).drop("_text"))
+    both = told.crossJoin(F.broadcast(log_ratios(told, labels)))  # a single row of BUCKETS numbers
     total = F.aggregate("_grams", F.lit(0).cast("long"), lambda a, b: a + F.get("ratios", b))
     both = both.withColumn("score", total / F.nullif(F.size("_grams"), F.lit(0)) / SCALE)
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True))
@@ -132,5 +132,5 @@ def scored(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
 
 
 def passing(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `df` that the rules keep."""
+    """The rows of `df` that the rules keep, with all their columns; a null text counts as empty, which no rule keeps, and ids may be null or repeat."""
     return scored(df, labels, threshold).filter("verdict.kept").select("row.*")

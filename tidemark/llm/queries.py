@@ -30,7 +30,7 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.scored(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    judged = quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), columns=["doc_id"])
     return judged.select("row.doc_id", "verdict.*")
 
 
