@@ -111,18 +111,25 @@ def log_ratios(df: DataFrame, labels: DataFrame) -> DataFrame:
     return all_.select(F.transform("c", lambda x: F.when(F.col("n_good") == 0, 0).otherwise(F.round(ratio(x) * SCALE)).cast("int")).alias("ratios"))
 
 
-def scored(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
+def scored(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, columns: list[str] | None = None, store: bool = True) -> DataFrame:
     """(row, verdict) for every row of `df` (doc_id, text, ...): all of the row or its `columns`, and its base counts, score and kept, as structs.
 
     A null text counts as empty: it fails the base rules. score is null for a text without n-grams, which no verdict of the method
     rejects. Repeated rows and null ids are judged like others; other columns may have any names. An empty table has an empty result.
 
-    Texts are read and split once: rows, base counts and buckets, two bytes each, are kept in the shared folder for the corpus counts and for the scores.
+    With `store` texts are read and split once: rows, base counts and buckets, two bytes each, are kept in the shared folder for the corpus counts and for the
+    scores. Without it, for rows that are large, nothing is kept: the corpus counts and the scores each read the texts.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in columns or df.columns))
     own = df.select(row.alias("row"), F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
-    told = checkpointed(base_counts(own, F.col("_text")).withColumn("_grams", buckets(F.col("_text"))).drop("_text"))
-    both = told.crossJoin(F.broadcast(log_ratios(told, labels)))  # a single row of BUCKETS numbers
+    grams = buckets(F.col("_text")).alias("_grams")
+    if store:
+        told = checkpointed(base_counts(own, F.col("_text")).select("*", grams).drop("_text"))
+        ratios = log_ratios(told, labels)
+    else:
+        told = base_counts(own, F.col("_text")).select("*", grams)
+        ratios = log_ratios(own.select("_doc", grams), labels)
+    both = told.crossJoin(F.broadcast(ratios))  # a single row of BUCKETS numbers
     total = F.aggregate("_grams", F.lit(0).cast("long"), lambda a, b: a + F.get("ratios", b))
     both = both.withColumn("score", total / F.nullif(F.size("_grams"), F.lit(0)) / SCALE)
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True))
@@ -133,4 +140,4 @@ def scored(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, colum
 
 def passing(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `df` that the rules keep, with all their columns; a null text counts as empty, which no rule keeps, and ids may be null or repeat."""
-    return scored(df, labels, threshold).filter("verdict.kept").select("row.*")
+    return scored(df, labels, threshold, store=False).filter("verdict.kept").select("row.*")
