@@ -232,6 +232,95 @@ def test_unique_is_kept_if_asked_for(session):
     assert rows(session, "SELECT COUNT(*) FROM t") == [(2,)]
 
 
+def test_index_and_changes_read_only_files_in_range(session, spark):
+    session.create_from("t", spark.range(4000).selectExpr("cast((id * 7919) % 4000 as int) as id", "id % 10 = 0 as odd", "date_add(date'2020-01-01', cast(id as int)) as d").drop("odd"))
+    session.execute("CREATE INDEX i ON t(id)")
+    session.compact("t", 6)
+    state = session.store.latest().table("t")
+    assert len(state.files) >= 4 and set(state.ranges) == set(state.files)
+    read = lambda text: len(session.execute(text).inputFiles())
+    assert read("SELECT id FROM t") == len(state.files)
+    assert read("SELECT id FROM t WHERE id < 10") == 1 and read("SELECT id FROM t WHERE 10 > id AND d > '1999-01-01'") == 1
+    assert read("SELECT a.id FROM t a JOIN t b ON a.id = b.id WHERE a.id = 5 AND b.id >= 0") == len(state.files) and read("SELECT id FROM t WHERE id > 99999") == 0
+    assert rows(session, "SELECT COUNT(*) FROM t WHERE id > 99999 OR id = 3") == [(1,)]
+    session.execute(":set no_optimization 1")
+    assert read("SELECT id FROM t WHERE id < 10") == len(state.files)
+    session.execute(":set no_optimization 0")
+    session.execute("UPDATE t SET id = id + 5000 WHERE id < 10")
+    after = session.store.latest().table("t")
+    assert len(set(state.files) - set(after.files)) == 1
+    fresh = Session(spark, session.store.root)
+    assert rows(fresh, "SELECT COUNT(*) FROM t WHERE id >= 5000") == [(10,)] and fresh.store.latest().table("t").ranges == after.ranges
+
+
+def test_ranges_rule_out_only_what_cannot_hold(session, spark):
+    rnd = random.Random(5)
+    values = [None if rnd.random() < 0.2 else rnd.randint(-5, 5) for _ in range(40)]
+    texts = [None if rnd.random() < 0.2 else rnd.choice(["", "a", "b c", "é", "漢", "10"]) for _ in range(40)]
+    days = [None if rnd.random() < 0.2 else datetime.date(2020, 1, rnd.randint(1, 9)) for _ in range(40)]
+    reals = [rnd.choice([None, float("nan"), -0.5, 1.5, 2.0]) for _ in range(40)]
+    session.create_from("t", spark.createDataFrame(list(zip(values, texts, days, reals, strict=True)), "x int, c string, d date, r double").repartition(9))
+    plain = {}
+    tests = [f"{c} {s} {v}" for c, vs in (("x", (-3, 0, 2.5, 99)), ("c", ("'a'", "'10'", "'zz'")), ("d", ("'2020-01-05'", "DATE '2021-01-01'")), ("r", (1.5, 7, -1))) for v in vs for s in ("=", "<>", "<", "<=", ">", ">=")]
+    tests += ["3 < x AND c = 'a'", "x = 5 OR d = '2020-01-02'", "x < r", "1 = 1", "(x > 4 OR x < -4) AND (c >= 'b' OR r > 1.0)"]
+    for t in tests:
+        plain[t] = sorted(map(str, rows(session, f"SELECT * FROM t WHERE {t}")))
+    for c in "xcdr":
+        session.execute(f"CREATE INDEX by_{c} ON t({c})")
+    for t in tests:
+        assert sorted(map(str, rows(session, f"SELECT * FROM t WHERE {t}"))) == plain[t], t
+
+
+def test_unique_holds_between_sessions(spark, tmp_path):
+    a, b = two(spark, tmp_path)
+    a.execute("CREATE UNIQUE INDEX i ON t(id)")
+    for s in (a, b):
+        s.execute(":set enforce_unique 1")
+        s.execute("BEGIN")
+    a.execute("INSERT INTO t (id, bal) VALUES (99, 1), (5, 5)")
+    b.execute("INSERT INTO t (id, bal) VALUES (98, 1), (99, 2)")
+    a.execute("COMMIT")
+    with pytest.raises(er.TransactionAborted):
+        b.execute("COMMIT")
+    for s, i in ((a, 60), (b, 61)):
+        s.execute("BEGIN")
+        s.execute(f"INSERT INTO t (id, bal) VALUES ({i}, 1)")
+    a.execute("COMMIT")
+    b.execute("COMMIT")  # other values
+    for bad in ("INSERT INTO t (id, bal) VALUES (60, 1)", "INSERT INTO t (id, bal) VALUES (70, 1), (70, 2)", "UPDATE t SET id = 99 WHERE id = 61"):
+        with pytest.raises(er.UniqueViolation):
+            b.execute(bad)
+    assert sorted(r[0] for r in rows(a, "SELECT id FROM t")) == [1, 2, 5, 60, 61, 99]
+    c, e = Session(spark, a.store.root), Session(spark, a.store.root)
+    for s in (c, e):
+        s.execute(":set enforce_unique 1")
+    c.execute("CREATE TABLE u (id INT)")
+    c.execute("BEGIN")
+    e.execute("BEGIN")
+    c.execute("CREATE UNIQUE INDEX j ON u(id)")
+    e.execute("INSERT INTO u (id) VALUES (1), (1)")
+    c.execute("COMMIT")
+    with pytest.raises(er.TransactionAborted):
+        e.execute("COMMIT")
+
+
+def test_a_join_reads_what_its_conditions_say(spark, tmp_path):
+    a, b = two(spark, tmp_path)
+    a.execute("CREATE TABLE u (id INT)")
+    a.execute("INSERT INTO u (id) VALUES (1)")
+    a.execute("BEGIN")
+    rows(a, "SELECT t.id FROM t JOIN u ON t.id = u.id WHERE bal > 100")
+    a.execute("INSERT INTO u (id) VALUES (7)")
+    b.execute("INSERT INTO t (id, bal) VALUES (9, 50)")
+    a.execute("COMMIT")
+    a.execute("BEGIN")
+    rows(a, "SELECT x.id FROM t x, t y WHERE x.bal > 100 AND y.bal > 1000 AND x.id = y.id")
+    a.execute("INSERT INTO u (id) VALUES (8)")
+    b.execute("INSERT INTO t (id, bal) VALUES (10, 500)")
+    with pytest.raises(er.TransactionAborted):
+        a.execute("COMMIT")
+
+
 # ---- loaders
 
 
@@ -297,6 +386,20 @@ def test_results(session):
     assert seen[0] == ["id"] and [r[0] for r in seen[1:]] == [1, 2]
 
 
+def test_statistics_and_console(session, capsys):
+    from tidemark.__main__ import say
+
+    account(session)
+    assert session.last.rows == 2 and session.last.execution_ms > 0
+    assert session.each("SELECT id FROM t", lambda _: None) == 2 == session.last.rows and session.last.execution_ms > 0 and session.last.planning_ms > 0
+    assert say(session, ":set print_execution_statistics 1") and say(session, "SELECT id FROM t ORDER BY id")
+    told = capsys.readouterr().out.split("\n")
+    assert told[-7] == "│ id │" and told[-2].startswith("2 rows, planned in ")
+    assert say(session, ":set enable_index_scan 1") and "changes nothing" in capsys.readouterr().out
+    assert say(session, ":set check_final_plan 1") and say(session, "INSERT INTO t (id, bal) VALUES (3, 1)") and "ok, 1 rows" in capsys.readouterr().out
+    assert not say(session, "SELECT nothing FROM t") and "error" in capsys.readouterr().err
+
+
 def test_server(spark, tmp_path):
     from tidemark.server import Client, Server
 

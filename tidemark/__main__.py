@@ -9,14 +9,21 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .errors import EngineError
-from .formatting import boxed
+from .formatting import box
 from .session import Session
 
 
 def say(session: Session, text: str) -> bool:
     try:
+        names, rows = [], []
         df = session.execute(text)
-        print(boxed(df) if df is not None else f"ok, {session.last.rows} rows")
+        if df is not None:
+            session.give(df, rows.append, lambda s: names.extend(s.names))
+        print(box(names, rows) if df is not None else f"ok, {session.last.rows} rows")
+        if session.last.note:
+            print(session.last.note)
+        if session.config["print_execution_statistics"]:
+            print(f"{session.last.rows} rows, planned in {session.last.planning_ms:.1f} ms, executed in {session.last.execution_ms:.1f} ms")
         return True
     except (EngineError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -8,6 +8,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 
+from .config import IDLE
 from .errors import CommandError
 
 if TYPE_CHECKING:
@@ -24,14 +25,14 @@ SHOW = {
 
 def show(session: Session, what: str) -> DataFrame:
     if what.lower() not in SHOW:
-        raise CommandError(f"Parameter is not recognized! Usage: :show {' | '.join(SHOW)}")
+        raise CommandError(f":show knows {', '.join(SHOW)}, but not {what or 'nothing'}")
     return session.execute(SHOW[what.lower()])
 
 
 def explain(session: Session, text: str) -> DataFrame:
     """One row: the logical plan as JSON, and Spark's physical plan."""
     if not text:
-        raise CommandError("No query specified! Usage: :explain [plan] <query>")
+        raise CommandError(":explain needs a SELECT to explain")
     plan = session.plan(re.sub(r"(?i)^plan\s+", "", text))
     physical = plan.df._jdf.queryExecution().executedPlan().toString()
     return session.spark.createDataFrame([(json.dumps(plan.logical), physical)], "plan string, physical string")
@@ -40,16 +41,17 @@ def explain(session: Session, text: str) -> DataFrame:
 def set_option(session: Session, text: str) -> DataFrame:
     m = re.fullmatch(r"(\w+)\s+(.+)", text)
     if not m:
-        raise CommandError("Usage: :set <option> <number>")
+        raise CommandError(":set needs the name of an option and a whole number")
     if not re.fullmatch("[0-9]+", m[2]):
-        raise CommandError("Options can only be set to numerical values!")
+        raise CommandError(f"{m[2]} is no whole number")
     old = session.config.set(m[1], int(m[2]))
+    session.last.note = f"{m[1]} changes nothing here, as Spark plans that itself" if m[1] in IDLE else ""
     return session.spark.createDataFrame([(m[1], int(m[2]), old)], "option string, value int, was int")
 
 
 def get_option(session: Session, text: str) -> DataFrame:
     if text and not re.fullmatch(r"\w+", text):
-        raise CommandError(f"'{text}' is not a valid option name!")
+        raise CommandError(f"{text} cannot be the name of an option")
     found = {text: session.config[text]} if text else session.config.values
     return session.spark.createDataFrame(sorted(found.items()), "option string, value int")
 
@@ -57,10 +59,10 @@ def get_option(session: Session, text: str) -> DataFrame:
 def stats(session: Session, table: str) -> DataFrame:
     """Counts a table's rows anew and shows the count next to the one that the catalog keeps."""
     if not re.fullmatch(r"\w+", table):
-        raise CommandError(f"'{table}' is not a valid table name!" if table else "No table name specified!")
+        raise CommandError(f"{table} cannot be the name of a table" if table else ":stats needs the name of a table")
     state = (session.open.state if session.open else session.store.latest()).tables
     if table not in state:
-        raise CommandError("Table not found!")
+        raise CommandError(f"there is no table {table}")
     counted = session.execute(f"SELECT COUNT(*) AS cardinality FROM `{table}`").first()[0]
     return session.spark.createDataFrame([(table, counted, state[table].rows, len(state[table].files))], "table_name string, cardinality long, catalog long, files int")
 

@@ -24,8 +24,17 @@ DEFAULTS = {
 }
 
 
+#: Options that are kept for scripts which set them.
+IDLE = frozenset("buffer_frames lru_k scan_page_limit page_size b_plus_tree_page_size enable_index_scan enable_predicate_push_down".split())
+
+
 class Config:
-    """Integer options by name; unknown ones can be set as well. Spark plans scans, push-down and joins itself; `enable_hash_join` hints at it."""
+    """Integer options by name; unknown ones can be set as well.
+
+    `enable_hash_join` asks for hash joins, `no_optimization` does without that and without skipping files by their ranges, `check_final_plan` plans
+    a SELECT before its rows are asked for, `print_execution_statistics` makes the console say times and rows, `enforce_unique` checks unique
+    indices, `flat_precedence` lets all signs bind alike. Memory, pages, index scans and push-down are Spark's own affair: these options (IDLE) change nothing, which `:set` says.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.values = spark, {k: v for k, (v, _) in DEFAULTS.items()}
@@ -35,7 +44,7 @@ class Config:
 
     def __getitem__(self, name: str) -> int:
         if name not in self.values:
-            raise OptionError("Option not found!")
+            raise OptionError(f"there is no option {name}")
         return self.values[name]
 
     def set(self, name: str, value: int) -> int | None:
@@ -47,7 +56,7 @@ class Config:
 
     @property
     def join_strategy(self) -> str | None:
-        return "shuffle_hash" if self.values["enable_hash_join"] else None
+        return "shuffle_hash" if self.values["enable_hash_join"] and not self.values["no_optimization"] else None
 
     def __str__(self) -> str:
         return "\n".join(f"{k}: {v}" for k, v in sorted(self.values.items()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame
 
 def boxed(df: DataFrame, padded_dates: bool = True) -> str:
     """The rows in a box-drawn table; null prints as NULL. All rows come to the caller."""
-    table = [[*df.columns], *([_cell(v, padded_dates) for v in row] for row in df.toLocalIterator())]
-    width = [max(len(r[i]) for r in table) for i in range(len(df.columns))]
+    return box(df.columns, df.toLocalIterator(), padded_dates)
+
+
+def box(names: Sequence[str], rows: Iterable[Sequence], padded_dates: bool = True) -> str:
+    table = [[*names], *([_cell(v, padded_dates) for v in row] for row in rows)]
+    width = [max(len(r[i]) for r in table) for i in range(len(names))]
     line = lambda a, b, c: a + b.join("─" * (w + 2) for w in width) + c
-    rows = ["│" + "│".join(f" {v:<{w}} " for v, w in zip(r, width, strict=True)) + "│" for r in table]
-    return "\n".join([line("┌", "┬", "┐"), rows[0], line("├", "┼", "┤"), *rows[1:], line("└", "┴", "┘")])
+    drawn = ["│" + "│".join(f" {v:<{w}} " for v, w in zip(r, width, strict=True)) + "│" for r in table]
+    return "\n".join([line("┌", "┬", "┐"), drawn[0], line("├", "┼", "┤"), *drawn[1:], line("└", "┴", "┘")])
 
 
 def _cell(value: object, padded_dates: bool) -> str:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import AmbiguousColumn, AnalysisError, ColumnNotFound, ColumnNotGrouped, TableNotFound
 from ..functions.aggregates import aggregate
@@ -53,6 +54,11 @@ class Scope:
             raise AmbiguousColumn(f"column {name} is in more than one table")
         return found[0]
 
+    def owner(self, name: ast.Name) -> str:
+        """The alias of the table that a name belongs to."""
+        inner = self.find(name)[0]
+        return next(s.alias for s in self.sources if any(c == inner for c, _ in s.columns.values()))
+
     def source(self, alias: str) -> Source:
         for s in self.sources:
             if s.alias == alias:
@@ -118,10 +124,26 @@ def _names(e: ast.Expression) -> list[ast.Name]:
     return _names(e.left) + _names(e.right) if isinstance(e, ast.Binary) else []
 
 
-def source_of(df: DataFrame, alias: str, number: int) -> tuple[DataFrame, Source]:
-    columns = {f.name: (f"c{number}_{i}", of_field(f)) for i, f in enumerate(df.schema.fields)}
-    renamed = df.toDF(*(inner for inner, _ in columns.values()))
-    return renamed, Source(alias, columns)
+def source_of(schema: T.StructType, alias: str, number: int) -> Source:
+    return Source(alias, {f.name: (f"c{number}_{i}", of_field(f)) for i, f in enumerate(schema.fields)})
+
+
+def of_one_table(query: ast.Select, scope: Scope) -> dict[str, ast.Expression | None]:
+    """For each alias the conjuncts of WHERE and ON that name this table alone, as one condition without table names; None without any."""
+    out: dict[str, ast.Expression | None] = {s.alias: None for s in scope.sources}
+    for c in conjuncts(query.where) + [on for _, on in query.joins]:
+        owners = {scope.owner(n) for n in _names(c)}
+        if len(owners) == 1:
+            (alias,) = owners
+            out[alias] = bare(c) if out[alias] is None else ast.Binary("AND", out[alias], bare(c))
+    return out
+
+
+def bare(e: ast.Expression) -> ast.Expression:
+    """A condition on one table without table names."""
+    if isinstance(e, ast.Name):
+        return ast.Name(e.column)
+    return ast.Binary(e.sign, bare(e.left), bare(e.right)) if isinstance(e, ast.Binary) else e
 
 
 @dataclass
@@ -131,7 +153,7 @@ class Plan:
     df: DataFrame
     names: list[str]
     logical: dict
-    tables: list[tuple[str, ast.Expression | None]]
+    tables: list[tuple[str, ast.Expression | None]]  # with the condition that the table is read by
 
 
 def _node(name: str, output: list[str], *children: dict, data: str | None = None) -> dict:
@@ -139,15 +161,24 @@ def _node(name: str, output: list[str], *children: dict, data: str | None = None
     return out | ({"data": data} if data is not None else {}) | {"childs": list(children)}
 
 
-def bind(query: ast.Select, table: Callable[[str], DataFrame], strategy: str | None = None) -> Plan:
-    """`table` gives a table's DataFrame by name; `strategy` is a join hint or None, with which Catalyst chooses."""
+def bind(query: ast.Select, table: Callable[..., DataFrame], strategy: str | None = None, schema: Callable[[str], T.StructType] | None = None) -> Plan:
+    """`table` gives a table's DataFrame by name; `strategy` is a join hint or None, with which Catalyst chooses.
+
+    With `schema`, which gives a table's columns by name, `table` is called with the name and a condition, and may leave out rows for which that does not hold.
+    """
     listed = [t for t, _ in reversed(query.joins)] + query.tables  # a star lists the table joined last first
-    frames, sources, nodes = {}, [], {}
+    whole = {} if schema else {t.alias: table(t.name) for t in listed}
+    sources, nodes = [], {}
     for i, t in enumerate(listed):
-        frames[t.alias], source = source_of(table(t.name), t.alias, i)
+        source = source_of(schema(t.name) if schema else whole[t.alias].schema, t.alias, i)
         sources.append(source)
         nodes[t.alias] = _node("TableScan", [f"{t.alias}.{c}" for c in source.columns], data=t.name)
     scope = Scope(sources)
+    own = of_one_table(query, scope)
+    frames = {}
+    for t, source in zip(listed, sources, strict=True):
+        df = table(t.name, own[t.alias]) if schema else whole[t.alias]
+        frames[t.alias] = df.toDF(*(inner for inner, _ in source.columns.values()))
 
     first, *others = query.tables
     df, node, seen = frames[first.alias], nodes[first.alias], [first.alias]
@@ -191,9 +222,7 @@ def bind(query: ast.Select, table: Callable[[str], DataFrame], strategy: str | N
     names = [n for _, n in items]
     df = df.select(*(c.alias(n) for c, n in zip(output, names, strict=True)))
     node = _node("Projection", names, node)
-    # what each table is read by: the conjuncts that name it alone
-    tables = [(t.name, None if len(listed) > 1 else query.where) for t in listed]
-    return Plan(df, names, node, tables)
+    return Plan(df, names, node, [(t.name, own[t.alias]) for t in listed])
 
 
 def _group(query: ast.Select, df: DataFrame, node: dict, scope: Scope, items: list, made: list[ast.Aggregate]):

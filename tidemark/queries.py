@@ -5,18 +5,24 @@ Queries that change tables run a session over a warehouse of their own in the fo
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
+import threading
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.aggregates import aggregate
+from .errors import TransactionAborted
+from .formatting import arrow_bytes, boxed, json_lines
 from .functions.scalar import divide_whole
 from .operators import relational as op
+from .server import Client, Server
 from .session import Session
 from .shared import shared_folder
-from .types import ColumnType
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -223,9 +229,8 @@ def agg_expr(spark, d):
 
 @_query("SELECT l_linestatus, round(sum(l_extendedprice) / count(l_quantity), 4) AS r FROM lineitem GROUP BY l_linestatus")
 def agg_over_agg_arith(spark, d):
-    s, _ = aggregate("SUM", F.col("l_extendedprice"), ColumnType("DECIMAL"), True)
-    n, _ = aggregate("COUNT", F.col("l_quantity"), ColumnType("DECIMAL"), True)
-    return op.scan(spark, d, "lineitem").groupBy("l_linestatus").agg(F.round(s / n, 4).alias("r"))
+    out = _session(spark, d, "lineitem").execute("SELECT l_linestatus, SUM(l_extendedprice) / COUNT(l_quantity) AS r FROM lineitem GROUP BY l_linestatus")
+    return out.withColumn("r", F.round("r", 4))
 
 
 @_query("SELECT o_orderstatus, o_orderpriority FROM orders GROUP BY o_orderstatus, o_orderpriority")
@@ -284,6 +289,18 @@ _dialect("sql_int_div", "SELECT s_suppkey, (s_suppkey / 7) AS v, (s_acctbal / 2)
 _dialect("sql_star_order", "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey", None, "nation", "region")
 
 
+_dialect("sql_qualified_star", "SELECT n.* FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", 'SELECT n_nationkey AS "n.n_nationkey", n_name AS "n.n_name", n_regionkey AS "n.n_regionkey" FROM nation', "nation", "region")
+_dialect("sql_literals_alone", "SELECT r_regionkey, r_name FROM region WHERE 1 < 2 AND 3 = 3", None, "region")
+_dialect("sql_count_star_of", "SELECT COUNT(n.*) AS c FROM nation n, region r", "SELECT count(*) AS c FROM nation, region", "nation", "region")
+
+
+@_query("SELECT s_suppkey, (2 + s_suppkey) * 3 AS v FROM supplier")
+def sql_flat_precedence(spark, d):
+    s = _session(spark, d, "supplier")
+    s.execute(":set flat_precedence 1")
+    return s.execute("SELECT s_suppkey, 2 + s_suppkey * 3 AS v FROM supplier")
+
+
 # ---- tables that change
 
 
@@ -350,3 +367,226 @@ def stats_command(spark, d):
     s = _session(spark, d)
     s.create_from("supplier", op.scan(spark, d, "supplier"))
     return s.execute(":stats supplier").drop("files")
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 120 UNION ALL SELECT 110, 7.5")
+def index_of_later_rows(spark, d):
+    """Rows that are inserted after the index was made are found by it, in files that the log's ranges do not rule out."""
+    s = _session(spark, d)
+    s.create_from("orders", op.scan(spark, d, "orders", "o_orderkey", "o_totalprice"))
+    s.execute("CREATE INDEX by_key ON orders(o_orderkey)")
+    s.execute("INSERT INTO orders (o_orderkey, o_totalprice) VALUES (110, 7.5), (1000000000, 1)")
+    return s.execute("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 120")
+
+
+@_query("SELECT 1 AS id, 'kept' AS note UNION ALL SELECT 2, 'new'")
+def create_if_not_exists(spark, d):
+    s = _session(spark, d)
+    for text in ("CREATE TABLE t (id INT, note CHAR(8))", "INSERT INTO t (id, note) VALUES (1, 'kept')", "CREATE TABLE IF NOT EXISTS t (other INT)", "INSERT INTO t (id, note) VALUES (2, 'new')"):
+        s.execute(text)
+    return s.execute("SELECT id, note FROM t")
+
+
+# ---- transactions of two sessions
+
+
+def _two(spark, d) -> tuple[Session, Session]:
+    """Sessions over one store with a table of accounts."""
+    a = _session(spark, d)
+    a.execute("CREATE TABLE t (id INT, bal INT)")
+    a.execute("INSERT INTO t (id, bal) VALUES (1, 10), (2, 20)")
+    return a, Session(spark, a.store.root)
+
+
+def _ended(s: Session) -> str:
+    try:
+        s.execute("COMMIT")
+        return "committed"
+    except TransactionAborted:
+        return "aborted"
+
+
+def _both(a: Session, b: Session, of_a: list[str], of_b: list[str]) -> DataFrame:
+    """The statements of both in transactions that overlap; a commits first. The table afterwards, each row with how the two ended."""
+    for s, texts in ((a, of_a), (b, of_b)):
+        s.execute("BEGIN")
+        for text in texts:
+            if (df := s.execute(text)) is not None:
+                df.collect()
+    ends = _ended(a), _ended(b)
+    return a.execute("SELECT id, bal FROM t").select("id", "bal", F.lit(ends[0]).alias("a"), F.lit(ends[1]).alias("b"))
+
+
+@_query("SELECT 1 AS id, 11 AS bal, 'committed' AS a, 'aborted' AS b UNION ALL SELECT 2, 20, 'committed', 'aborted'")
+def conflict_write_write(spark, d):
+    return _both(*_two(spark, d), ["UPDATE t SET bal = bal + 1 WHERE id = 1"], ["UPDATE t SET bal = bal + 5 WHERE id = 1"])
+
+
+@_query("SELECT unnest([1, 2, 3]) AS id, unnest([10, 20, -15]) AS bal, 'committed' AS a, 'aborted' AS b")
+def conflict_read_set(spark, d):
+    """Each has read what the other changes."""
+    read = "SELECT SUM(bal) AS s FROM t"
+    return _both(*_two(spark, d), [read, "INSERT INTO t (id, bal) VALUES (3, -15)"], [read, "INSERT INTO t (id, bal) VALUES (4, -15)"])
+
+
+@_query("SELECT unnest([1, 2, 3]) AS id, unnest([10, 20, 500]) AS bal, 'committed' AS a, 'aborted' AS b")
+def conflict_phantom(spark, d):
+    """b has found no row where a adds one."""
+    return _both(*_two(spark, d), ["INSERT INTO t (id, bal) VALUES (3, 500)"], ["SELECT COUNT(*) AS n FROM t WHERE bal > 100", "INSERT INTO t (id, bal) VALUES (4, 1)"])
+
+
+@_query("SELECT unnest([1, 2, 3, 4]) AS id, unnest([10, 20, 50, 1]) AS bal, 'committed' AS a, 'committed' AS b")
+def no_conflict_through_join(spark, d):
+    """a adds a row outside of what b has read of the table in a join."""
+    a, b = _two(spark, d)
+    a.execute("CREATE TABLE u (id INT)")
+    a.execute("INSERT INTO u (id) VALUES (1)")
+    return _both(a, b, ["INSERT INTO t (id, bal) VALUES (3, 50)"], ["SELECT t.id FROM t JOIN u ON t.id = u.id WHERE t.bal > 100", "INSERT INTO t (id, bal) VALUES (4, 1)"])
+
+
+@_query("SELECT unnest([1, 2, 99]) AS id, unnest([10, 20, 1]) AS bal, 'committed' AS a, 'aborted' AS b")
+def conflict_unique(spark, d):
+    a, b = _two(spark, d)
+    a.execute("CREATE UNIQUE INDEX by_id ON t(id)")
+    for s in (a, b):
+        s.execute(":set enforce_unique 1")
+    return _both(a, b, ["INSERT INTO t (id, bal) VALUES (99, 1)"], ["INSERT INTO t (id, bal) VALUES (99, 2)"])
+
+
+@_query("SELECT 'snapshot' AS seen, sum(x) AS s FROM (VALUES (10), (20)) v(x) UNION ALL SELECT 'own', 35 UNION ALL SELECT 'after', 130")
+def snapshot_reads(spark, d):
+    """A transaction sees the version of its begin and its own changes; when it is given up, what others have committed."""
+    a, b = _two(spark, d)
+    told = []
+    look = lambda name: told.append((name, a.execute("SELECT SUM(bal) AS s FROM t").first()[0]))
+    a.execute("BEGIN")
+    b.execute("UPDATE t SET bal = bal + 100 WHERE id = 1")
+    look("snapshot")
+    a.execute("INSERT INTO t (id, bal) VALUES (3, 5)")
+    look("own")
+    a.execute("ABORT")
+    look("after")
+    return spark.createDataFrame(told, "seen string, s long")
+
+
+@_query("SELECT unnest([1, 2]) AS id, unnest([10, 20]) AS bal")
+def abort_at_disconnect(spark, d):
+    a, b = _two(spark, d)
+    with b:
+        b.execute("BEGIN")
+        b.execute("DELETE FROM t")
+    return a.execute("SELECT id, bal FROM t")
+
+
+# ---- loaders, results, commands, console, server
+
+
+def _file(spark, s: Session, name: str, lines: DataFrame) -> str:
+    """A text file or folder of this name in the session's own folder."""
+    path = f"{s.store.root}/files/{name}"
+    lines.write.text(path)
+    return path
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def tbl_file(spark, d):
+    s = _session(spark, d)
+    s.execute("CREATE TABLE nation (n_nationkey INT, n_name CHAR(25), n_regionkey INT)")
+    s.load(_file(spark, s, "nation.tbl", op.scan(spark, d, "nation").select(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey", F.lit("")))))
+    return s.execute("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+
+
+@_query("SELECT 1 AS id, 'Alien' AS name UNION ALL SELECT 2, 'Brazil'")
+def sql_file(spark, d):
+    s = _session(spark, d)
+    script = "CREATE TABLE movie (id INT,\nname CHAR(8));\n-- a remark\n/*\nINSERT INTO movie (id, name) VALUES (9, 'no');\n*/\nINSERT INTO movie (id, name)\nVALUES (1, 'Alien'), (2, 'Brazil');\n"
+    s.load(_file(spark, s, "movie.sql", spark.createDataFrame([(script,)], "value string").coalesce(1)))
+    return s.execute("SELECT id, name FROM movie")
+
+
+@_query("SELECT n_nationkey, n_name, n FROM nation, (SELECT count(*) AS n FROM nation)")
+def rows_one_by_one(spark, d):
+    """Rows given to a callback, and their number."""
+    s, rows, names = _session(spark, d, "nation"), [], []
+    n = s.each("SELECT n_nationkey, n_name FROM nation", rows.append, lambda schema: names.extend(schema.names))
+    return spark.createDataFrame([(*r, s.last.rows) for r in rows if n == s.last.rows], f"{names[0]} int, {names[1]} string, n long")
+
+
+@_query("SELECT '│ ' || rpad(CAST(r_regionkey AS VARCHAR), 11, ' ') || ' │ ' || rpad(r_name, CAST((SELECT greatest(6, max(length(r_name))) FROM region) AS INTEGER), ' ') || ' │' AS line FROM region")
+def boxed_rows(spark, d):
+    lines = boxed(_session(spark, d, "region").execute("SELECT r_regionkey, r_name FROM region")).split("\n")
+    return spark.createDataFrame([(x,) for x in lines[3:-1]], "line string")
+
+
+@_query("SELECT r_regionkey, r_name, 'json' AS kind FROM region UNION ALL SELECT r_regionkey, r_name, 'arrow' FROM region")
+def serialized_rows(spark, d):
+    """Rows written as JSON lines and as Arrow bytes, and read again."""
+    df = _session(spark, d, "region").execute("SELECT r_regionkey, r_name FROM region")
+    there = [(*json.loads(x).values(), "json") for x in json_lines(df)]
+    there += [(*r.values(), "arrow") for r in pa.ipc.open_stream(arrow_bytes(df)).read_all().to_pylist()]
+    return spark.createDataFrame(there, "r_regionkey int, r_name string, kind string")
+
+
+@_query("SELECT unnest(['t', 'u']) AS table_name")
+def show_tables(spark, d):
+    s = _session(spark, d)
+    for t in "tu":
+        s.execute(f"CREATE TABLE {t} (id INT)")
+    return s.execute(":show tables")
+
+
+@_query("SELECT 't' AS table_name, unnest(['id', 'bal']) AS column_name, unnest(['one', 'two']) AS index_name, unnest([1, 0]) AS is_unique, 1 AS type")
+def show_indices(spark, d):
+    s, _ = _two(spark, d)
+    s.execute("CREATE UNIQUE INDEX one ON t(id)")
+    s.execute("CREATE INDEX two ON t(bal)")
+    return s.execute(":show indices")
+
+
+@_query("SELECT unnest(['Projection', 'Limit', 'Order By', 'Aggregation', 'Selection', 'TableScan']) AS node, unnest([0, 1, 2, 3, 4, 5]) AS depth")
+def explain_command(spark, d):
+    """The logical plan's nodes from the top."""
+    s, out = _session(spark, d, "nation"), []
+    plan = json.loads(s.execute(":explain SELECT n_regionkey, COUNT(*) AS n FROM nation WHERE n_nationkey > 3 GROUP BY n_regionkey ORDER BY n_regionkey LIMIT 3").first()["plan"])
+    while plan:
+        out.append((plan["name"], len(out)))
+        plan = next(iter(plan["childs"]), None)
+    return spark.createDataFrame(out, "node string, depth int")
+
+
+@_query("SELECT 'set' AS command, 'enable_hash_join' AS option, 1 AS value, 0 AS was UNION ALL SELECT 'get', 'enable_hash_join', 1, NULL")
+def set_and_get(spark, d):
+    s = _session(spark, d)
+    was = s.execute(":set enable_hash_join 1").select(F.lit("set").alias("command"), "*")
+    return was.unionByName(s.execute(":get enable_hash_join").select(F.lit("get").alias("command"), "*"), allowMissingColumns=True)
+
+
+@_query("SELECT '│ ' || CAST(count(*) AS VARCHAR) || ' │' AS line FROM nation")
+def console(spark, d):
+    """What the console prints for a statement."""
+    from .__main__ import say
+
+    s, out = _session(spark, d, "nation"), io.StringIO()
+    with contextlib.redirect_stdout(out):
+        say(s, "SELECT COUNT(*) AS n FROM nation")
+    return spark.createDataFrame([(out.getvalue().split("\n")[3],)], "line string")
+
+
+@_query("SELECT 'rows' AS kind, 5 AS x UNION ALL SELECT 'after', 1")
+def line_server(spark, d):
+    """Replies of the server to two clients; what the first left open is given up."""
+    server = Server(spark, f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}", 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    one = Client(port=server.server_address[1])
+    for text in ("CREATE TABLE t (id INT)", "INSERT INTO t (id) VALUES (5)"):
+        one.send(text)
+    found = [("rows", one.send("SELECT id AS x FROM t")["rows"][0][0])]
+    one.send("BEGIN")
+    one.send("DELETE FROM t")
+    one.close()
+    two = Client(port=server.server_address[1])
+    found.append(("after", two.send("SELECT COUNT(*) AS n FROM t")["rows"][0][0]))
+    two.send(":stop")
+    two.close()
+    server.server_close()
+    return spark.createDataFrame(found, "kind string, x int")

@@ -14,8 +14,9 @@ from . import catalog
 from .commands import run_command
 from .config import Config
 from .errors import AnalysisError, ColumnCannotBeNull, ColumnNotFound, EngineError, NotInTransaction
+from .operators.relational import values
 from .plans import ast
-from .plans.binder import Plan, Scope, Source, bind, condition, operand
+from .plans.binder import Plan, Scope, Source, bare, bind, condition, operand
 from .plans.parser import parse
 from .sources.loader import read_tbl, statements, table_of
 from .sources.store import Store, TableState
@@ -25,8 +26,12 @@ from .types import Literal, field, of_field, stored
 
 @dataclass
 class Statistics:
+    """Of the last statement: a SELECT's rows and execution time are known when its rows have been given out (`each`)."""
+
     planning_ms: float = 0.0
     rows: int = 0
+    execution_ms: float = 0.0
+    note: str = ""
 
 
 class Session:
@@ -52,25 +57,32 @@ class Session:
     def execute(self, text: str) -> DataFrame | None:
         """Runs a statement or a `:command`; rows as a DataFrame, None if there are none to give."""
         if text.lstrip().startswith(":"):
+            self.last = Statistics()
             return run_command(self, text.strip())
         statement = parse(text, bool(self.config["flat_precedence"]))
         if isinstance(statement, ast.Transaction):
             return self._transaction(statement.action)
         if isinstance(statement, ast.Select):
             return self._select(statement)
-        return self._in_transaction(lambda t: getattr(self, f"_{type(statement).__name__.lower()}")(t, statement))
+        began = time.perf_counter()
+        self._in_transaction(lambda t: getattr(self, f"_{type(statement).__name__.lower()}")(t, statement))
+        self.last.execution_ms = (time.perf_counter() - began) * 1000
+        return None
 
     def each(self, text: str, on_row: Callable[[Row], None], on_schema: Callable[[T.StructType], None] | None = None) -> int:
         """Gives each result row to `on_row`, partition by partition; how many there were."""
         df = self.execute(text)
-        if df is None:
-            return 0
+        return 0 if df is None else self.give(df, on_row, on_schema)
+
+    def give(self, df: DataFrame, on_row: Callable[[Row], None], on_schema: Callable[[T.StructType], None] | None = None) -> int:
+        """Gives each row of a statement's result to `on_row`, and notes their number and the time that it took."""
         if on_schema:
             on_schema(df.schema)
-        n = 0
+        n, began = 0, time.perf_counter()
         for row in df.toLocalIterator():
             on_row(row)
             n += 1
+        self.last.rows, self.last.execution_ms = n, (time.perf_counter() - began) * 1000
         return n
 
     def view(self, name: str, df: DataFrame) -> None:
@@ -97,6 +109,7 @@ class Session:
             def run(t: Transaction) -> None:
                 name = table_of(path)
                 self.last = Statistics(rows=t.insert(name, read_tbl(self.spark, path, t.table(name).schema)))
+                self._unique(t, name)
 
             self._in_transaction(run)
         else:
@@ -115,7 +128,7 @@ class Session:
         statement = parse(text, bool(self.config["flat_precedence"]))
         if not isinstance(statement, ast.Select):
             raise AnalysisError("only a SELECT has a plan to show")
-        return bind(statement, self._frame(self.open or Transaction(self.store)), self.config.join_strategy)
+        return self._bound(statement, self.open or Transaction(self.store))
 
     # ---- transactions
 
@@ -143,22 +156,32 @@ class Session:
         t.commit(self._holds)
 
     def _holds(self, table: TableState, where: ast.Expression) -> Column:
-        return F.coalesce(condition(_bare(where), self._scope("", table.schema)), F.lit(False))
+        return F.coalesce(condition(bare(where), self._scope("", table.schema)), F.lit(False))
 
     # ---- statements
 
-    def _frame(self, t: Transaction) -> Callable[[str], DataFrame]:
-        def table(name: str) -> DataFrame:
+    def _bound(self, query: ast.Select, t: Transaction) -> Plan:
+        def schema(name: str) -> T.StructType:
+            if name in self.views:
+                return self.views[name].schema
+            return catalog.schema(name) if name in catalog.SYSTEM else t.table(name).schema
+
+        def table(name: str, where: ast.Expression | None) -> DataFrame:
             if name in self.views:
                 return self.views[name]
-            return catalog.system_table(self.spark, t.state, name) if name in catalog.SYSTEM else t.frame(name)
+            if name in catalog.SYSTEM:
+                return catalog.system_table(self.spark, t.state, name)
+            return t.frame(name, None if self.config["no_optimization"] else where)
 
-        return table
+        plan = bind(query, table, self.config.join_strategy, schema)
+        if self.config["check_final_plan"]:
+            plan.df._jdf.queryExecution().executedPlan()  # planned now, so that what cannot be planned fails here
+        return plan
 
     def _select(self, query: ast.Select) -> DataFrame:
         began = time.perf_counter()
         t = self.open or Transaction(self.store)
-        plan = bind(query, self._frame(t), self.config.join_strategy)
+        plan = self._bound(query, t)
         for name, where in plan.tables:
             if name in t.state.tables:
                 t.read(name, where)
@@ -183,7 +206,7 @@ class Session:
         if s.column not in t.table(s.table).schema.names:
             raise ColumnNotFound(f"no column {s.column} in {s.table}")
         t.index(s.name, s.table, s.column, s.unique)
-        self._unique(t, s.table)
+        self._unique(t, s.table, whole=True)
 
     def _insert(self, t: Transaction, s: ast.Insert) -> None:
         schema = t.table(s.table).schema
@@ -196,7 +219,7 @@ class Session:
             raise AnalysisError("names and values differ in number")
         at = [names.index(f.name) for f in schema.fields]
         rows = [tuple(_kept(r[i], f) for i, f in zip(at, schema.fields, strict=True)) for r in s.rows]
-        self.last = Statistics(rows=t.insert(s.table, self.spark.createDataFrame(rows, schema).coalesce(1)))
+        self.last = Statistics(rows=t.insert(s.table, values(self.spark, rows, schema).coalesce(1)))
         self._unique(t, s.table)
 
     def _update(self, t: Transaction, s: ast.Update) -> None:
@@ -212,28 +235,21 @@ class Session:
             changes[name] = stored(value, kind)
         new = lambda df: df.select(*(F.when(where, changes[f.name]).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in changes else F.col(f"`{f.name}`") for f in table.schema.fields))
         t.read(s.table, s.where)
-        self.last = Statistics(rows=t.rewrite(s.table, where, new))
+        self.last = Statistics(rows=t.rewrite(s.table, where, new, s.where))
         self._unique(t, s.table)
 
     def _delete(self, t: Transaction, s: ast.Delete) -> None:
         where = self._where(s.where, self._scope(s.table, t.table(s.table).schema))
         t.read(s.table, s.where)
-        self.last = Statistics(rows=t.rewrite(s.table, where, lambda df: df.filter(~where)))
+        self.last = Statistics(rows=t.rewrite(s.table, where, lambda df: df.filter(~where), s.where))
 
     @staticmethod
     def _where(where: ast.Expression | None, scope: Scope) -> Column:
         return F.lit(True) if where is None else F.coalesce(condition(where, scope), F.lit(False))
 
-    def _unique(self, t: Transaction, table: str) -> None:
+    def _unique(self, t: Transaction, table: str, whole: bool = False) -> None:
         if self.config["enforce_unique"]:
-            t.check_unique(table)
-
-
-def _bare(e: ast.Expression) -> ast.Expression:
-    """A condition on one table without table names."""
-    if isinstance(e, ast.Name):
-        return ast.Name(e.column)
-    return ast.Binary(e.sign, _bare(e.left), _bare(e.right)) if isinstance(e, ast.Binary) else e
+            t.check_unique(table, whole)
 
 
 def _kept(literal: Literal, f: T.StructField) -> object:

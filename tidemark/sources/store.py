@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TableNotFound
+from ..plans.ranges import kept
 
 KEEP = 32
 
@@ -29,6 +30,7 @@ class TableState:
     column_ids: dict[str, int]
     files: dict[str, int] = field(default_factory=dict)  # path below the table's folder: rows
     indices: list[dict] = field(default_factory=list)  # id, name, column, unique
+    ranges: dict[str, dict[str, list]] = field(default_factory=dict)  # path: indexed column: least and greatest value
 
     @property
     def rows(self) -> int:
@@ -53,12 +55,13 @@ class State:
             now.next_column += len(fields)
         for index in entry.get("index", []):
             t = tables[index["table"]]
-            tables[index["table"]] = TableState(t.id, t.schema, t.column_ids, t.files, [*t.indices, {"id": now.next_index} | {k: index[k] for k in ("name", "column", "unique")}])
+            tables[index["table"]] = TableState(t.id, t.schema, t.column_ids, t.files, [*t.indices, {"id": now.next_index} | {k: index[k] for k in ("name", "column", "unique")}], t.ranges)
             now.next_index += 1
         for name, change in entry.get("files", {}).items():
             t, gone = tables[name], set(change["remove"])
             files = {f: n for f, n in t.files.items() if f not in gone} | change["add"]
-            tables[name] = TableState(t.id, t.schema, t.column_ids, files, t.indices)
+            ranges = {f: r for f, r in t.ranges.items() if f not in gone} | change.get("ranges", {})
+            tables[name] = TableState(t.id, t.schema, t.column_ids, files, t.indices, ranges)
         now.tables = tables
         return now
 
@@ -68,12 +71,12 @@ class State:
         return self.tables[name]
 
     def to_json(self) -> dict:
-        tables = {n: {"id": t.id, "schema": t.schema.jsonValue(), "column_ids": t.column_ids, "files": t.files, "indices": t.indices} for n, t in self.tables.items()}
+        tables = {n: {"id": t.id, "schema": t.schema.jsonValue(), "column_ids": t.column_ids, "files": t.files, "indices": t.indices, "ranges": t.ranges} for n, t in self.tables.items()}
         return {"version": self.version, "next": [self.next_id, self.next_column, self.next_index], "tables": tables}
 
     @staticmethod
     def from_json(x: dict) -> State:
-        tables = {n: TableState(t["id"], T.StructType.fromJson(t["schema"]), t["column_ids"], t["files"], t["indices"]) for n, t in x["tables"].items()}
+        tables = {n: TableState(t["id"], T.StructType.fromJson(t["schema"]), t["column_ids"], t["files"], t["indices"], t.get("ranges", {})) for n, t in x["tables"].items()}
         return State(x["version"], tables, *x["next"])
 
 
@@ -167,11 +170,24 @@ class Store:
         found = (df if where is None else df.filter(where)).groupBy("_metadata.file_path").count().collect()
         return {"/".join(r[0].split("/")[-2:]): r[1] for r in found}
 
-    def write(self, table: TableState, df: DataFrame) -> dict[str, int]:
-        """Writes new files of a table, each sorted by its indexed columns; their names and rows. Empty ones are left out."""
-        name = uuid.uuid4().hex
-        if table.indices:
-            df = df.sortWithinPartitions(*(f"`{i['column']}`" for i in table.indices))
+    def write(self, table: TableState, df: DataFrame) -> dict[str, dict]:
+        """Writes new files of a table, each sorted by its indexed columns: as `add` their names and rows, as `ranges` the least and greatest values of those columns.
+
+        Empty files are left out. A row for each file reaches the driver.
+        """
+        name, columns = uuid.uuid4().hex, [i["column"] for i in table.indices]
+        if columns:
+            df = df.sortWithinPartitions(*(f"`{c}`" for c in columns))
         df.write.parquet(f"{self.folder(table)}/{name}")
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder(table)}/{name}")) if s.getPath().getName().startswith("part-")]
-        return self.counted(table, [f"{name}/{f}" for f in found])
+        if not found:
+            return {"add": {}, "ranges": {}}
+        ends = [f(f"`{c}`") for c in columns for f in (F.min, F.max)]
+        written = self.spark.read.schema(table.schema).parquet(*(f"{self.folder(table)}/{name}/{f}" for f in found))
+        out: dict[str, dict] = {"add": {}, "ranges": {}}
+        for path, n, *values in written.groupBy("_metadata.file_path").agg(F.count(F.lit(1)), *ends).collect():
+            file = "/".join(path.split("/")[-2:])
+            pairs = {c: [kept(v) for v in values[2 * i : 2 * i + 2]] for i, c in enumerate(columns)}
+            out["add"][file], out["ranges"][file] = n, {c: r for c, r in pairs.items() if r[1] == r[1]}  # not where NaN is the greatest
+        out["ranges"] = {f: r for f, r in out["ranges"].items() if r}
+        return out
