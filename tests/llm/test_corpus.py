@@ -352,7 +352,7 @@ def plain_chat(rows, part):
     return out
 
 
-@pytest.mark.parametrize("few", [common.FEW, 5])
+@pytest.mark.parametrize("few", [common.FEW, 50])
 def test_every_participant_gets_the_dialogue(spark, monkeypatch, few):
     monkeypatch.setattr(common, "FEW", few)
     rnd = random.Random(8)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, width
+from .common import checkpointed, slices, width
 
 CHUNK, OVERLAP, RUN = 32_768, 1_024, 50_000
 
@@ -125,17 +125,6 @@ def _pretokenise(pattern: str, chunk: int, overlap: int):
     return run
 
 
-def _slices(lengths: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose lengths add up to `most` at most, or single rows; what is held as Python objects stays small."""
-    ends = np.cumsum(lengths)
-    begin = 0
-    while begin < len(lengths):
-        before = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield begin, end
-        begin = end
-
-
 def _listed(ids: list[np.ndarray | None]) -> pa.Array:
     """Arrays of ids as a list column, null for None."""
     offsets = np.r_[0, np.cumsum([0 if x is None else len(x) for x in ids])].astype(np.int32)
@@ -173,7 +162,7 @@ def _read_once(path: str, pattern: str, chunk: int, kept: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = kept[1](path)
         for whole in batches:
-            for begin, end in _slices(pc.binary_length(whole.column("piece")).to_numpy(zero_copy_only=False)):
+            for begin, end in slices(pc.binary_length(whole.column("piece")).to_numpy(zero_copy_only=False)):
                 batch = whole.slice(begin, end - begin)
                 texts = batch.column("piece").to_pylist()
                 long = [len(t) > chunk for t in texts]
@@ -189,7 +178,7 @@ def _encode(path: str, pattern: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin, end in _slices(pc.binary_length(whole.column("piece")).to_numpy(zero_copy_only=False)):
+            for begin, end in slices(pc.binary_length(whole.column("piece")).to_numpy(zero_copy_only=False)):
                 batch = whole.slice(begin, end - begin)
                 ids = _listed([encoded(x.as_py(), path, pattern) for x in batch.column("piece")])
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("part"), ids], names=["row", "part", "ids"])
@@ -203,7 +192,7 @@ def _keep(path: str, kept: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = kept[1](path)
         for whole in batches:
-            for begin, end in _slices(pc.fill_null(pc.list_value_length(whole.column("ids")), 0).to_numpy(zero_copy_only=False), 1 << 19):
+            for begin, end in slices(pc.fill_null(pc.list_value_length(whole.column("ids")), 0).to_numpy(zero_copy_only=False), 1 << 19):
                 batch = whole.slice(begin, end - begin)
                 ids = [x.values.to_numpy() for x in batch.column("ids")]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *made(ids)], names=["id", *_names(kept[0])])
@@ -217,7 +206,7 @@ def _decode(path: str):
         for whole in batches:
             at = whole.schema.get_field_index("ids")
             keep = [i for i in range(whole.num_columns) if i != at]
-            for begin, end in _slices(pc.fill_null(pc.list_value_length(whole.column(at)), 0).to_numpy(zero_copy_only=False), 1 << 19):
+            for begin, end in slices(pc.fill_null(pc.list_value_length(whole.column(at)), 0).to_numpy(zero_copy_only=False), 1 << 19):
                 batch = whole.slice(begin, end - begin)
                 out = [b"".join(map(raw.__getitem__, x or ())) for x in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out, pa.binary())], names=[*(batch.schema.names[i] for i in keep), "decoded"])

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import joined, ranked
 
 PART = 256
@@ -44,7 +45,7 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", spe
     said = df.select(key, F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), speaker, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("salt"))
     told, _ = ranked(said, F.col("key"), F.col("turn"), F.col("speaker"), F.col("text"), F.col("salt"))
     begins = told.groupBy("key").agg(F.min("rank").alias("begin"), F.count(F.lit(1)).alias("n"))
-    told = joined(told.drop("turn", "salt"), begins, "key", told.count()).withColumn("part", F.expr(f"(rank - begin) div {part}"))
+    told = joined(told.drop("turn", "salt"), begins, "key", told.count(), common.FEW // 10).withColumn("part", F.expr(f"(rank - begin) div {part}"))
     speakers = told.filter(F.col("speaker") != SYSTEM).groupBy("key", F.col("speaker").alias("perspective")).agg(F.first("conv").alias("conv"))
     parts = told.groupBy("key", "part").agg(F.sort_array(F.collect_list(F.struct("rank", "speaker", "text"))).alias("turns"))
     each = parts.join(speakers, "key")

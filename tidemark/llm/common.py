@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_folder
 
-#: ASCII white space, the only separators of the word contracts.
+#: Spark's option to remove shuffle files when a query has ended; ASCII white space, the only separators of the word contracts.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
@@ -23,16 +29,23 @@ def width(spark: SparkSession) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` computed once and cut from its lineage, in the folder that the cluster shares (see `shared_folder`).
 
-    With `spark.cleaner.referenceTracking.cleanCheckpoints` its files go when nothing refers to them any more.
+    With `spark.cleaner.referenceTracking.cleanCheckpoints` its files go when nothing refers to them any more. The shuffle files that it took
+    to compute go at once, as nothing reads them again.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # planned anew, with the option
+    finally:
+        spark.conf.set(CLEAN_UP, before)
 
 
 #: What tells rows apart when they are matched: two hashes of all columns, 96 bits together.
 ROW = ["_row", "_more"]
-#: Rows of one key that a task takes in any case.
-FEW = 100_000
+#: Narrow rows of one key that a task takes in any case.
+FEW = 1_000_000
 
 
 def row_hashes(df: DataFrame) -> list[Column]:
@@ -70,13 +83,13 @@ def repeats(rows: DataFrame) -> bool:
     return rows.groupBy(*ROW).count().filter("count > 1").limit(1).count() > 0
 
 
-def joined(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
-    """`rows` joined by `key` with `per_key`, which has a row for each key and in `n` at least the number of its rows; `total` is the sum of all n.
+def joined(rows: DataFrame, per_key: DataFrame, key: str, total: int, few: int | None = None) -> DataFrame:
+    """`rows` joined by `key` with `per_key`, which has a row for each key and in `n` at least the number of its rows; `total` is the sum of all n; `few` is FEW unless rows are wide.
 
     Keys of more rows than a quarter of what a task takes on average are not moved: there are at most four for each task, so their rows of `per_key` are broadcast,
     whatever the data. All others are joined by a shuffle in which no key can fill a task.
     """
-    most = max(FEW, total // (4 * width(rows.sparkSession)))
+    most = max(FEW if few is None else few, total // (4 * width(rows.sparkSession)))
     if total <= most:  # no key can have more
         return rows.join(per_key.drop("n"), key)
     hot = F.broadcast(per_key.filter(F.col("n") > most).drop("n"))
@@ -84,6 +97,24 @@ def joined(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFra
     return rows.join(hot, key).unionByName(rest)
 
 
+def slices(lengths: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose lengths add up to `most` at most, or single rows; what is held as Python objects stays small."""
+    ends = np.cumsum(lengths)
+    begin = 0
+    while begin < len(lengths):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield begin, end
+        begin = end
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a few MB of the string column each."""
+    for batch in batches:
+        for begin, end in slices(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)):
+            yield batch.slice(begin, end - begin)
+
+
 def ranked(df: DataFrame, *order: Column, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """`df` with `rank` (long, gapless from 0) in the total order `order`, and its per-partition counts.
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_slices
+
 #: Lengths in code points and densities of the block rules.
 SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.5, 0.10, 0.20
 #: Tags that break blocks, tags without content, tags whose content is no text, tags that are never article.
@@ -345,7 +347,7 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "html"):
             texts = pa.array([extract(h) for h in batch.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), texts], names=["id", "url", "text"])
 

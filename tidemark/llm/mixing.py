@@ -19,7 +19,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, met, ranked, row_hashes, width
+from .common import ROW, checkpointed, met, ranked, row_hashes, width
 
 BLOCK = 16
 #: Parts of named sources; all other sources together have the parts REST.
@@ -135,9 +135,9 @@ def keyed(df: DataFrame) -> list[Column]:
 
 
 def places(df: DataFrame, **options) -> DataFrame:
-    """(_row, _more, slot, place) of all rows of documents; a place for each of the rows that agree in all columns."""
+    """(_row, _more, slot, place) of all rows of documents, computed once; a place for each of the rows that agree in all columns."""
     found = mix(df.select(*keyed(df), "source"), keys=("_id", "_row"), carry=("_more",), **options)
-    return found.select(*ROW, "slot", "place")
+    return checkpointed(found.select(*ROW, "slot", "place"))
 
 
 def in_mixed_order(df: DataFrame, **options) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_slices
+
 #: Kinds in the order in which spans of one start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key_base64", "key_hex")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -261,7 +263,7 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]")
 
 def _rows(work, names: list[str], types: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "_text"):
             at = batch.schema.get_field_index("_text")
             made = [work(t) for t in batch.column(at).to_pylist()]
             keep = [i for i in range(batch.num_columns) if i != at]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, checkpointed, joined, only, repeats, row_hashes, width
+from .common import ROW, checkpointed, in_slices, joined, only, repeats, row_hashes, width
 
 THRESHOLD, SHINGLE, SEED = 2, 3, 42
 BLOCKS = ((0, 23), (23, 23), (46, 18))
@@ -60,7 +60,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             prints = np.array([fingerprint(shingle_hashes(t)) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.view(np.int64))], names=["id", "print"])
 
