@@ -26,7 +26,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents"), each=True)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,13 +63,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-#: op4: the schedule as a recursion over slots for each kind of cycle; op6: every query against every row; op8: parts of 256 turns by their place, spans by running sums of lengths.
+#: op4: sources without a target take turns by their block numbers, the schedule is a recursion over slots for each kind of cycle; op6: every query against every row; op8: parts of 256 turns by their place, spans by running sums of lengths.
 SQL = {
     "op4_mix": """
         WITH RECURSIVE p(target, parts) AS (VALUES ('src0', 6), ('src1', 3), ('src2', 3), ('src3', 2), ('src4', 2), ('', 14)),
-             d AS (SELECT doc_id, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN source ELSE '' END AS target FROM documents),
-             r AS (SELECT doc_id, target, parts, row_number() OVER (PARTITION BY target ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS nth FROM d JOIN p USING (target)),
-             s AS (SELECT target, parts, (count(*) + 15) // 16 AS blocks FROM r GROUP BY target, parts),
+             d AS (SELECT doc_id, coalesce('=' || source, '') AS own, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN source ELSE '' END AS target FROM documents),
+             n AS (SELECT doc_id, target, own, parts, row_number() OVER (PARTITION BY target, own ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS nth FROM d JOIN p USING (target)),
+             turns AS (SELECT target, own, k, row_number() OVER (PARTITION BY target ORDER BY k, own) - 1 AS block FROM (SELECT DISTINCT target, own, nth // 16 AS k FROM n)),
+             r AS (SELECT doc_id, n.target, parts, block, nth % 16 AS place FROM n JOIN turns ON n.target = turns.target AND n.own = turns.own AND nth // 16 = k),
+             s AS (SELECT target, parts, max(block) + 1 AS blocks FROM r GROUP BY target, parts),
              ends AS (SELECT DISTINCT unnest([0, blocks // parts, blocks // parts + 1]) AS first FROM s),
              kinds AS (SELECT first, lead(first) OVER (ORDER BY first) AS last FROM ends),
              m AS (SELECT first, last, target, CASE WHEN blocks // parts > first THEN parts WHEN blocks // parts = first THEN blocks % parts ELSE 0 END AS m FROM kinds, s WHERE last IS NOT NULL),
@@ -82,7 +84,7 @@ SQL = {
                                                              lambda i: (((done[i] + 1) * slots + ms[i] - 1) // ms[i]) * 1000 + i)) % 1000 AS pick
                            FROM edf WHERE slot + 1 < slots)),
              taken AS (SELECT first, slot, ts[who] AS target, ms[who] AS m, row_number() OVER (PARTITION BY first, ts[who] ORDER BY slot) - 1 AS part FROM edf WHERE who > 0),
-             b AS (SELECT doc_id, target, nth // 16 AS block, nth % 16 AS place, (nth // 16) // parts AS cycle, (nth // 16) % parts AS part FROM r)
+             b AS (SELECT doc_id, target, block, place, block // parts AS cycle, block % parts AS part FROM r)
         SELECT doc_id, nullif(b.target, '') AS target, block, start + (cycle - starts.first) * slots + slot AS slot, CAST(place AS INTEGER) AS place,
                start + (cycle - starts.first) * slots + part * slots // m AS release, start + (cycle - starts.first) * slots + ((part + 1) * slots + m - 1) // m AS deadline
         FROM b JOIN starts ON cycle >= starts.first AND cycle < starts.last JOIN taken USING (part, target) WHERE taken.first = starts.first
