@@ -170,14 +170,12 @@ class Counter:
     def texts(self, texts: list[str]) -> list[int]:
         out = []
         for some in _groups(texts):
-            split, pending = [], {}
+            split, pending = [], set()
             for text in some:
                 parts = self.special.split(text) if self.special else [text]
                 pieces = [p for part in parts for p in self.pattern.findall(part)]
                 split.append((len(parts) - 1, pieces))
-                for p in pieces:
-                    if p not in self.known:
-                        pending[p] = None
+                pending |= set(pieces).difference(self.known)
             self.learn(list(pending))
             known = self.known
             out += [special + sum(map(known.__getitem__, pieces)) for special, pieces in split]
