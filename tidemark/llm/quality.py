@@ -9,10 +9,12 @@ log(target / raw) over its n-grams, so its length does not matter; the ratios ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, checkpointed
+from .common import checkpointed
 
 #: Buckets of the hashed n-grams; units of the rounded log ratios; the target holds at most TRUSTED labelled documents.
 BUCKETS, SCALE, TRUSTED = 1 << 14, 1 << 16, 20_000
@@ -24,19 +26,18 @@ SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
-def words(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(trimmed, SPACE_CLASS + "+", " "), " "))  # a split at one plain sign needs no pattern
+def plain(text: Column) -> Column:
+    """The text with each separator of words as a space: replacing signs one by one looks at bytes, where a pattern would look at characters."""
+    return reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit(" ")), SPACES[1:], text)
 
 
-def _behind(array: Column, n: int) -> Column:
-    """The array without its first `n` values."""
-    return F.slice(array, n + 1, F.greatest(F.size(array) - n, F.lit(0)))
+def words(plain: Column) -> Column:
+    return F.array_remove(F.split(plain, " "), "")
 
 
-def joined_hashes(a: Column, b: Column) -> Column:
-    """Hashes of values side by side, as many as `b` has."""
-    return F.zip_with(F.slice(a, 1, F.size(b)), b, lambda x, y: F.xxhash64(x, y))
+def windows(hashes: Column, size: int = WINDOW) -> Column:
+    """A hash for each window of values in order, as many as `hashes` has: the last ones have fewer values, so they are like no other."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, size))))
 
 
 def repeated_words(hashes: Column, size: int = WINDOW) -> Column:
@@ -61,20 +62,15 @@ def repeated_words(hashes: Column, size: int = WINDOW) -> Column:
 
 def base_counts(df: DataFrame, text: Column) -> DataFrame:
     """`df` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of `text`."""
-    told = df.withColumn("_words", words(text)).withColumn(
-        "_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    )
-    size, w, pairs, fours = F.size("_words"), F.col("_words"), F.col("_pairs"), F.col("_fours")
-    told = told.withColumn("_pairs", joined_hashes(w, _behind(w, 1))).withColumn("_fours", joined_hashes(pairs, _behind(pairs, 2)))
-    # a window that occurs twice begins with four words that do, which few texts have
-    windows = joined_hashes(fours, _behind(w, WINDOW - 1))
+    told = df.withColumn("_plain", plain(text)).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
+    told = told.withColumn("_hashes", F.transform(words(F.col("_plain")), lambda w: F.xxhash64(w))).withColumn("_windows", windows(F.col("_hashes")))
     told = told.select(
         *df.columns,
-        size.cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size("_hashes").cast("long").alias("n_words"),
+        F.length(F.replace("_plain", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct(fours)) == F.size(fours), F.lit(0).cast("long")).otherwise(repeated_words(windows)).alias("n_repeat_words"),
+        F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0).cast("long")).otherwise(repeated_words(F.col("_windows"))).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return told.withColumn("base_failed", failed)
@@ -100,11 +96,12 @@ def log_ratios(df: DataFrame, labels: DataFrame) -> DataFrame:
     Counts of the raw corpus cover every row of `df`. They are summed in each task before the shuffle, so at most BUCKETS rows
     leave a task. Without any trusted document the ratios are 0.
     """
+    # a plain explode would be given a filter on the size of its array, for which the buckets are computed once more
     rows = df.join(F.broadcast(trusted_ids(labels).select(F.col("doc_id").alias("_doc"), F.lit(1).alias("_good"))), "_doc", "left")
-    grams = rows.select("_good", F.explode("_grams").alias("bucket"))
+    grams = rows.select("_good", F.explode_outer("_grams").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_good").alias("good"))
     every = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    counts = every.join(F.broadcast(counts), "bucket", "left").na.fill(0)
+    counts = every.join(F.broadcast(counts), "bucket", "left").na.fill(0)  # leaves out the null of texts without n-grams
     # one row of BUCKETS counts, whatever the size of the corpus
     all_ = counts.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))
     ratio = lambda x: F.log((x["good"] + 1) / (F.col("n_good") + BUCKETS)) - F.log((x["raw"] + 1) / (F.col("n_raw") + BUCKETS))
