@@ -14,7 +14,7 @@ logarithm of a component's size; nothing is collected and each round is checkpoi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import repeat
 
@@ -36,15 +36,28 @@ GOLAY = 0b110001110101
 # ---- fingerprints
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """XXH64 (seed 42) of the shingles of a text's words, A-Z in lower case; the whole sequence if it has fewer words."""
+def split(text: str | None) -> list[bytes]:
+    """A text's words, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space alone
+
+
+def shingles(words: list[bytes], size: int = SHINGLE) -> Iterable[bytes]:
+    """Every run of `size` words; the whole sequence if it has fewer; none of no words."""
+    if len(words) < size:
+        return [b" ".join(words)] if words else []
+    return map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+
+
+def hashed(some: Iterable[bytes]) -> np.ndarray:
+    """XXH64 (seed 42) of each."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space alone
-    if not words:
-        return np.empty(0, np.uint64)
-    shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(SEED)), np.uint64)
+
+
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of a text's words, A-Z in lower case; the whole sequence if it has fewer words."""
+    return hashed(shingles(split(text), size))
 
 
 def fingerprint(hashes: np.ndarray, block: int = 1 << 16) -> int:
